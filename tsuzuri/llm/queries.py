@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import sentencepiece_bpe
+from tsuzuri.llm import secret_scan, sentencepiece_bpe
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,9 +22,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, digests=True)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_sentencepiece": op4_sentencepiece,
+        "op6_secrets": op6_secrets,
     }
 
 
