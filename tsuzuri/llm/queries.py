@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import secret_scan, sentencepiece_bpe
+from tsuzuri.llm import secret_scan, sentencepiece_bpe, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op4_sentencepiece": op4_sentencepiece,
         "op6_secrets": op6_secrets,
+        "op8_warc": op8_warc,
     }
 
 
