@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import secret_scan, sentencepiece_bpe, warc
+from tsuzuri.llm import compression_quality, secret_scan, sentencepiece_bpe, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, digests=True)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
         "op8_warc": op8_warc,
     }
