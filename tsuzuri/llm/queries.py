@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import compression_quality, secret_scan, sentencepiece_bpe, toxicity, warc
+from tsuzuri.llm import compression_quality, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_jaccard.similarity_join(table(spark, sf_dir, "documents"))
+    return members
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +45,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_toxicity": op2_toxicity,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
