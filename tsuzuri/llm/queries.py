@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import compression_quality, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
+from tsuzuri.llm import compression_quality, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
         "op8_warc": op8_warc,
+        "op9_merkle": op9_merkle,
     }
 
 
