@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import compression_quality, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
+from tsuzuri.llm import compression_quality, html_template, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, digests=True)
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_toxicity": op2_toxicity,
+        "op3_html": op3_html,
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
