@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import compression_quality, html_template, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
+from tsuzuri.llm import ann_forest, compression_quality, html_template, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Query]:
         "op4_sentencepiece": op4_sentencepiece,
         "op5_quality": op5_quality,
         "op6_secrets": op6_secrets,
+        "op7_ann": op7_ann,
         "op8_warc": op8_warc,
         "op9_merkle": op9_merkle,
     }
