@@ -14,7 +14,9 @@ A document's set holds the hashes (64 bit) of its distinct 5-word shingles.  Two
    are compared with the ``PIVOTS`` sets of the lowest positions (those with the fewest rare shingles, so
    the nearest to what the list shares).  Sets that the verified links already join need no answers of
    their own; only pairs across different components are compared afterwards.
-4. Candidate pairs are verified on the whole sets, and links give components.
+4. Candidate pairs are first compared on the shingles of one quarter of the hash range: if these alone
+   differ by more than linked sets can, the pair is out.  The others are verified on the whole sets,
+   and links give components.
 
 A list is streamed in sorted order, so a shingle of a third of all documents takes bounded memory.
 A Bloom filter of at most ``BLOOM_WORDS`` words chooses the texts whose sets are built for step 4; it may
@@ -47,6 +49,8 @@ COMMON = 300_000
 SHORT = 24
 PIVOTS = 8
 BLOOM_WORDS = 1 << 20
+#: Shingles below this hash are a set's sketch.
+QUARTER = -(1 << 62)
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -294,8 +298,13 @@ def _bloom(ids: DataFrame) -> np.ndarray:
     return words
 
 
-def _sets(docs: DataFrame, text: str, key: str, ids: DataFrame) -> DataFrame:
-    """(id, tokens) of at least the documents in ``ids``."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """A quarter of the hash range, cut to 32 bits; shingles that meet so only hide differences."""
+    return (s[: np.searchsorted(s, QUARTER)] >> 30).astype(np.uint32)
+
+
+def _sets(docs: DataFrame, text: str, key: str, ids: DataFrame, whole: bool) -> DataFrame:
+    """(id, n, tokens) of at least the documents in ``ids``: whole sets, or sketches."""
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
     marked = docs.select(key, F.xxhash64(F.col(key), F.lit(1)).alias("h1"), F.xxhash64(F.col(key), F.lit(2)).alias("h2"), text)
 
@@ -308,9 +317,28 @@ def _sets(docs: DataFrame, text: str, key: str, ids: DataFrame) -> DataFrame:
                 ok &= (words[(h >> 6) % BLOOM_WORDS] >> (h & 63)) & 1 == 1
             b = b.filter(pa.array(ok))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([shingle_set(t).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["id", "tokens"])
+                sets = [shingle_set(t) for t in b.column(3).to_pylist()]
+                data = [(s if whole else sketch(s)).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())], names=["id", "n", "tokens"])
+
+    return marked.where(F.col(key).isNotNull()).mapInArrow(run, "id long, n int, tokens binary")
+
+
+def _overlap(s: np.ndarray, t: np.ndarray) -> int:
+    if len(s) > len(t):
+        s, t = t, s
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum()) if len(s) else 0
+
 
-    return marked.where(F.col(key).isNotNull()).mapInArrow(run, "id long, tokens binary")
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches differ by no more than linked sets of their sizes can."""
+    for b in slices(batches, 512):
+        keep = []
+        for s, t, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5))):
+            s, t = np.frombuffer(s, np.uint32), np.frombuffer(t, np.uint32)
+            most = n + m - 2 * ((4 * (n + m) + 8) // 9)
+            keep.append(len(s) + len(t) - 2 * _overlap(s, t) <= most)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,20 +346,28 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, u, v = [], [], b.column(0).to_pylist(), b.column(1).to_pylist()
         for i, (s, t) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
             s, t = np.frombuffer(s, np.int64), np.frombuffer(t, np.int64)
-            if len(s) > len(t):
-                s, t = t, s
-            both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+            both = _overlap(s, t)
             if 100 * both >= 80 * (len(s) + len(t) - both):
                 x.append(u[i])
                 y.append(v[i])
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives whose sets link."""
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t")), "b")
-    return two.select("a", "b", "s", "t").mapInArrow(_verify, "u long, v long").distinct()
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s"), F.col("n").alias("sn")), "a")
+    two = one.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t"), F.col("n").alias("tn")), "b")
+    return two.select("a", "b", "s", "t", "sn", "tn")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+
+def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Pairs (u, v) of representatives whose sets link."""
+    likely = settle(_beside(pairs, sketches).mapInArrow(_plausible, "a long, b long").distinct())
+    sets = settle(_sets(docs, text, key, _ends(likely), whole=True))
+    return _beside(likely, sets).mapInArrow(_verify, "u long, v long").distinct()
 
 
 def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -349,15 +385,14 @@ def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     pairs = settle(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     longs = found.where(f"kind = {LONG}").select(F.col("a").alias("token"), F.col("an").alias("pos"), F.col("b").alias("e"), F.col("bn").alias("n")).distinct()
     longs = settle(longs.join(classes.select("e", "n", "rep"), ["e", "n"]).select("token", "rep", F.col("n").alias("size"), "pos"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(longs.select("rep")).distinct()
-    sets = settle(_sets(docs, text, key, ids))
-    links = settle(_links(pairs, sets))
+    sketches = settle(_sets(docs, text, key, _ends(pairs).union(longs.select("rep")), whole=False))
+    links = settle(_links(pairs, sketches, docs, text, key))
     joined = components(links)
     marked = longs.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "size", "pos", F.coalesce("component", "rep").alias("comp"))
     across = marked.repartition(width, "token").sortWithinPartitions("token", "pos").mapInArrow(_across, "a long, b long").distinct()
-    late = settle(_links(across.join(pairs, ["a", "b"], "left_anti"), sets))
-    if not late.isEmpty():
-        links = links.union(late)
+    across = settle(across.join(pairs, ["a", "b"], "left_anti"))
+    if not across.isEmpty():
+        links = links.union(settle(_links(across, sketches, docs, text, key)))
         joined = components(links)
     copies = settle(classes.where("copies > 1").select("e", "n", "rep"))
     whole = members.join(copies, ["e", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -367,7 +402,29 @@ def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest key (of repeated rows, one)."""
+    """``docs`` with one row of each component: the one with the smallest key (of repeated rows, one).
+
+    Only rows that a Bloom filter marks as leaving or repeated are shuffled; the others stay where they are.
+    """
     groups, _ = similarity_join(docs, text, key)
-    drop = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.dropDuplicates([key]).join(drop, key, "left_anti").select(*docs.columns)
+    named = groups.where(F.col(key).isNotNull())
+    leaves = settle(named.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("id")).union(named.groupBy(key).count().where("count > 1").select(key)).distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(leaves))
+    hashed = docs.withColumn("__h1", F.xxhash64(F.col(key), F.lit(1))).withColumn("__h2", F.xxhash64(F.col(key), F.lit(2)))
+
+    def split(marked: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = shared.value
+            for b in slices(batches, 512):
+                ok = np.ones(b.num_rows, bool)
+                for c in (-2, -1):
+                    h = b.column(b.num_columns + c).to_numpy()
+                    ok &= (words[(h >> 6) % BLOOM_WORDS] >> (h & 63)) & 1 == 1
+                yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(ok == marked))
+
+        return hashed.mapInArrow(run, docs.schema)
+
+    gone = named.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    maybe = split(True).join(gone, key, "left_anti").select(*docs.columns)
+    nulls = maybe.where(F.col(key).isNull())
+    return split(False).union(nulls).union(maybe.where(F.col(key).isNotNull()).dropDuplicates([key]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsuzuri.llm import ann_forest, compression_quality, html_template, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, toxicity, warc
+from tsuzuri.llm import ann_forest, compression_quality, html_template, merkle, ngram_jaccard, secret_scan, sentencepiece_bpe, soft_mixing, toxicity, warc
 from tsuzuri.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,12 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = soft_mixing.fit_domains(toxicity.training_rows(docs, labels))
+    return soft_mixing.report(docs, model, {"clean": 0.9, "junk": 0.08, "toxic": 0.02})
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -66,6 +72,7 @@ def queries() -> dict[str, Query]:
         "op7_ann": op7_ann,
         "op8_warc": op8_warc,
         "op9_merkle": op9_merkle,
+        "op10_mixing": op10_mixing,
     }
 
 
