@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL
 
@@ -135,7 +136,7 @@ def chi2_sf(x: float, dof: int) -> float:
     return front * f
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_llr(x):
     return x.map(lambda v: math.erfc(math.sqrt(max(0.0, v) / 2)))
 
