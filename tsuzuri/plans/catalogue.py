@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsuzuri.functions import text as tx
-from tsuzuri.operators import extract, network, search, segment, stats, structure
+from tsuzuri.operators import extract, lexicon, network, search, segment, stats, structure
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE
+from tsuzuri.sources import corpus
+from tsuzuri.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -516,3 +518,36 @@ def _(spark, d):
 def _(spark, d):
     docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels")
     return docs.join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "quality", "toxic", F.coalesce("labelled", F.lit(False)).alias("labelled"))
+
+
+@query("token_pattern_match", "SELECT * FROM (VALUES (1, CAST(1 AS BIGINT)), (2, CAST(0 AS BIGINT)), (3, CAST(1 AS BIGINT))) t(sid, hits)".replace("(1, ", "(CAST(1 AS BIGINT), ").replace("(2, ", "(CAST(2 AS BIGINT), ").replace("(3, ", "(CAST(3 AS BIGINT), "))
+def _(spark, d):
+    rule = lexicon.compile_tokens([{"LEMMA": "だ"}, lexicon.Either(({"ORTH": {"IN": ["と", "ろう"]}}, [{"ORTH": "か"}, {"POS": "AUX", "OP": "?"}]))])
+    tok = lambda *w: [(a, a, b, "AUX", "", "") for a, b in w]
+    rows = spark.createDataFrame([(1, tok(("正しい", "正しい"), ("だ", "だ"), ("ろう", "ろう"))), (2, tok(("だ", "だ"), ("が", "が"))), (3, tok(("だ", "だ"), ("か", "か"), ("ない", "ない")))], "sid long, t array<struct<orth:string,norm:string,lemma:string,pos:string,tag:string,morph:string>>")
+    return rows.select("sid", F.size(extract.match_tokens(F.col("t"), rule)).alias("hits"))
+
+
+@query("genre_meta", "SELECT * FROM (VALUES ('C', 'A', 'k1', 'C / A / k1'), ('C', NULL, NULL, 'C'), (NULL, 'A', 'x', 'A / x')) t(genre1, genre2, genre3, genre_path)")
+def _(spark, d):
+    rows = spark.createDataFrame([({"corpus": "C", "subject_area": "A", "keywords": "k1、k2"},), ({"corpus": "C"},), ({"subject_area": "A", "keywords": "x y"},)], "meta map<string,string>")
+    return corpus.genre_meta(rows).select("genre1", "genre2", "genre3", "genre_path")
+
+
+@query("exclusive_bodies", "SELECT page_id, regexp_replace(substr(html, 1, 40) || substr(html, 61, 40), '^$', '') AS body FROM pages WHERE length(html) >= 100")
+def _(spark, d):
+    head = table(spark, d, "pages").where("length(html) >= 100").withColumn("t", F.substring("html", 1, 100))
+    return head.select("page_id", F.array_join(structure.without_intervals(F.col("t"), F.expr("array(struct(40 as start, 60 as stop))")), "").alias("body"))
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    e = ingest.windowed_events(table(spark, d, "events"))
+    return e.withColumn("total", F.round("total", 4))
+
+
+@query("occurrence_rank", "SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY n DESC, user_id) <= 5")
+def _(spark, d):
+    n = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")
+    return n.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
