@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame
 from tsuzuri.llm.common import slices
 
 MARK = "▁"
-#: Chunks kept by a worker; about 250 bytes each.
-CACHE_CHUNKS = 700_000
+#: Chunks after a white-space mark that a worker keeps, about 250 bytes each; a third as many of the others.
+#: Workers live on for later stages, so this memory stays taken.
+CACHE_CHUNKS = 300_000
 UNREACHED = -1 << 40
 
 
@@ -191,7 +192,7 @@ class PrefixBpe:
     def _part(self, s: str) -> tuple[int, ...]:
         ids = self.parts.get(s)
         if ids is None:
-            if len(self.parts) >= CACHE_CHUNKS // 2:
+            if len(self.parts) >= CACHE_CHUNKS // 3:
                 self.parts.clear()
             ids = tuple(self._known(s) if s[0] in self.chars else self._fallback(s))
             if len(s) < 100:
@@ -231,7 +232,7 @@ class PrefixBpe:
     def _get(self, kept: dict[str, tuple[int, ...]], w: str, s: str) -> tuple[int, ...]:
         ids = kept.get(w)
         if ids is None:
-            if len(kept) >= CACHE_CHUNKS:
+            if len(kept) >= (CACHE_CHUNKS if kept is self.with_mark else CACHE_CHUNKS // 3):
                 kept.clear()
             ids = self._chunk(s)
             if len(w) < 100:
