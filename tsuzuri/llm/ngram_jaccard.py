@@ -12,18 +12,22 @@ A document's set holds the hashes (64 bit) of its distinct 5-word shingles.  Two
    position on, so blocks and pairs that cannot reach the needed overlap are skipped unseen.
 3. A list of up to ``SHORT`` sets gives its pairs.  A longer one is answered by set relations: its sets
    are compared with the ``PIVOTS`` sets of the lowest positions (those with the fewest rare shingles, so
-   the nearest to what the list shares).  Sets that the verified links already join need no answers of
-   their own; only pairs across different components are compared afterwards.
-4. Candidate pairs are first compared on the shingles of one quarter of the hash range: if these alone
+   the nearest to what the list shares).  Pairs across the components that the verified links give are
+   compared afterwards; by then the components are right, but links inside them can still be missing.
+4. Linked sets are of one component, so the missing links join two sets of long lists and of one
+   component.  These sets are dealt into blocks of like size, and each pair of blocks whose sizes can link
+   is compared whole in a task of its own, with exact overlaps.  This completes the links and counts.
+5. Candidate pairs of steps 2 and 3 are first compared on the shingles of one quarter of the hash range: if these alone
    differ by more than linked sets can, the pair is out.  The others are verified on the whole sets,
    and links give components.
 
 A list is streamed in sorted order, so a shingle of a third of all documents takes bounded memory.
-A Bloom filter of at most ``BLOOM_WORDS`` words chooses the texts whose sets are built for step 4; it may
+A Bloom filter of at most ``BLOOM_WORDS`` words chooses the texts whose sets are built for steps 4 and 5; it may
 let more through, never fewer.
 
 Defined results: texts with fewer than five words have their whole word sequence as the only shingle;
-null texts and texts without words have ``n_shingles`` 0 and link with nothing.  Repeated rows are
+null texts and texts without words have ``n_shingles`` 0 and link with nothing.  ``n_links`` counts the
+other rows that a row links with, exact copies among them.  Repeated rows are
 copies.  A null key has a null component.
 """
 
@@ -51,6 +55,10 @@ PIVOTS = 8
 BLOOM_WORDS = 1 << 20
 #: Shingles below this hash are a set's sketch.
 QUARTER = -(1 << 62)
+#: Sets, and shingles, of a block on average; columns of its matrix at a time.
+BLOCK = 256
+BLOCK_TOKENS = 500_000
+COLUMNS = 4096
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -353,6 +361,100 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["u", "v"])
 
 
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of ``left`` links with each of ``right``; overlaps are counted on all shingles that two sets share."""
+    sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
+    sets = [*left, *right]
+    at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    row = np.repeat(np.arange(len(sets)), np.concatenate(sizes))
+    shared = n[at] > 1
+    row, col = row[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+    by = np.argsort(col, kind="stable")
+    row, col = row[by], col[by]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        part = slice(*np.searchsorted(col, (first, first + COLUMNS)))
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[row[part], col[part] - first] = 1
+        both += m[: len(left)] @ m[len(left) :].T
+    return 100 * both.astype(np.int64) >= 80 * (sizes[0][:, None] + sizes[1][None, :] - both.astype(np.int64))
+
+
+TASK = ("comp", "k", "i", "l", "j")
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(u, v, copies of u, copies of v) of the links of each pair of blocks; rows come sorted by (task, side, rep)."""
+
+    def answer(side: np.ndarray, rep: np.ndarray, copies: np.ndarray, tokens: list[bytes]) -> tuple[np.ndarray, ...]:
+        keep = np.ones(len(rep), bool)  # repeated rows have repeated sets
+        keep[1:] = (rep[1:] != rep[:-1]) | (side[1:] != side[:-1])
+        x = np.flatnonzero(keep & (side == 0))
+        y = np.flatnonzero(keep & (side == 1))
+        sets = {i: np.frombuffer(tokens[i], np.int64) for i in (*x, *y)}
+        if not len(x):
+            return (rep[:0],) * 4
+        if len(y):
+            i, j = np.nonzero(linked([sets[i] for i in x], [sets[i] for i in y]))
+        else:  # a block with itself, or one whose partner has no rows
+            y = x
+            same = [sets[i] for i in x]
+            i, j = np.nonzero(np.triu(linked(same, same), 1))
+        return rep[x[i]], rep[y[j]], copies[x[i]], copies[y[j]]
+
+    rest: tuple | None = None
+    for b in slices(batches, 512):
+        task = np.stack([b.column(i).to_numpy() for i in range(5)], 1)
+        cols = [task, *(b.column(i).to_numpy() for i in (5, 6, 7))]
+        tokens = b.column(8).to_pylist()
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest[0], cols)]
+            tokens = rest[1] + tokens
+        task = cols[0]
+        starts = np.flatnonzero(np.r_[True, (task[1:] != task[:-1]).any(1)])
+        for s, e in zip(starts[:-1], starts[1:]):
+            yield answer(*(c[s:e] for c in cols[1:]), tokens[s:e])
+        rest = [c[starts[-1] :] for c in cols], tokens[starts[-1] :]
+    if rest is not None and len(rest[1]):
+        yield answer(*rest[0][1:], rest[1])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for u, v, _, _ in _block_pairs(batches):
+        for i in range(0, len(u), 8192):
+            x, y = u[i : i + 8192], v[i : i + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+
+
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for u, v, cu, cv in _block_pairs(batches):
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        n = np.zeros(len(ids), np.int64)
+        np.add.at(n, at, np.concatenate([cv, cu]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["rep", "n"])
+
+
+def _blocks(crowd: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """Rows (task, side, rep, copies, tokens) of ``crowd`` (rep, comp, size, copies), each once for every pair of blocks it belongs to.
+
+    Sets whose sizes differ by more than a factor of 1.25 cannot link, so they are in neighbouring classes of a factor of 1.26 at most.
+    """
+    crowd = crowd.withColumn("k", F.floor(F.log("size") / F.log(F.lit(1.26))))
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_TOKENS))
+    parts = settle(crowd.groupBy("comp", "k").agg(parts.alias("g")))
+    around = parts.join(parts.select("comp", (F.col("k") + 1).alias("k"), F.col("g").alias("before")), ["comp", "k"], "left").join(parts.select("comp", (F.col("k") - 1).alias("k"), F.col("g").alias("after")), ["comp", "k"], "left")
+    own = crowd.join(around, ["comp", "k"]).withColumn("p", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("g")))
+    tasks = F.expr(
+        """concat(
+        transform(sequence(0L, g - 1), x -> struct(k as k, least(p, x) as i, k as l, greatest(p, x) as j, int(p > x) as side)),
+        if(after is null, array(), transform(sequence(0L, after - 1), x -> struct(k as k, p as i, k + 1 as l, x as j, 0 as side))),
+        if(before is null, array(), transform(sequence(0L, before - 1), x -> struct(k - 1 as k, x as i, k as l, p as j, 1 as side))))"""
+    )
+    dealt = own.select("comp", "rep", "copies", F.explode(tasks).alias("t")).select("comp", "t.*", "rep", "copies")
+    rows = dealt.join(sets.select(F.col("id").alias("rep"), "tokens"), "rep").select(*TASK, "side", "rep", "copies", "tokens")
+    return rows.repartition(width * 2, *TASK).sortWithinPartitions(*TASK, "side", "rep")
+
+
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("s"), F.col("n").alias("sn")), "a")
     two = one.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("t"), F.col("n").alias("tn")), "b")
@@ -370,8 +472,8 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, ke
     return _beside(likely, sets).mapInArrow(_verify, "u long, v long").distinct()
 
 
-def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(members, links): key, n_shingles, class_id, component_id for every row; and links between class representatives."""
+def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, links, components, long lists, classes of several rows): components are right, but links inside them are not all there."""
     spark: SparkSession = docs.sparkSession
     width = shuffle_width(spark)
     order = Order(*_common(docs, text, key))
@@ -394,11 +496,35 @@ def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     if not across.isEmpty():
         links = links.union(settle(_links(across, sketches, docs, text, key)))
         joined = components(links)
-    copies = settle(classes.where("copies > 1").select("e", "n", "rep"))
-    whole = members.join(copies, ["e", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    copies = settle(classes.where("copies > 1").select("e", "n", "rep", "copies"))
+    whole = members.join(copies.drop("copies"), ["e", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = whole.join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     out = out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
-    return out, links
+    return out, links, joined, longs, copies.select("rep", "copies")
+
+
+def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(members, links): key, n_shingles, class_id, component_id, n_links for every row; and all links between class representatives."""
+    out, links, joined, longs, copies = _grouped(docs, text, key)
+    once = F.coalesce("copies", F.lit(1).cast("long")).alias("copies")
+    many = joined.groupBy("component").count().where("count > 1").select("component")  # a component of two has its only link
+    nodes = joined.join(many, "component")
+    nodes = nodes.select("node", "component").union(many.select("component", "component"))
+    crowd = longs.select("rep", "size").distinct().join(nodes.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep")
+    crowd = settle(crowd.join(copies, "rep", "left").select("rep", "comp", "size", once))
+    rows = None
+    if not crowd.isEmpty():
+        sets = settle(_sets(docs, text, key, crowd.select(F.col("rep").alias("id")), whole=True))
+        rows = _blocks(crowd, sets, shuffle_width(docs.sparkSession))
+    inside = crowd.select(F.col("rep").alias("u"), F.lit(True).alias("cu")), crowd.select(F.col("rep").alias("v"), F.lit(True).alias("cv"))
+    other = links.join(inside[0], "u", "left").join(inside[1], "v", "left").where("cu is null or cv is null").select("u", "v").distinct()
+    ways = other.union(other.select("v", "u")).join(copies.withColumnRenamed("rep", "v"), "v", "left").select(F.col("u").alias("rep"), once.alias("n"))
+    if rows is not None:
+        ways = ways.union(rows.mapInArrow(_block_counts, "rep long, n long"))
+        links = other.union(rows.mapInArrow(_block_links, "u long, v long"))
+    counts = settle(ways.groupBy("rep").agg(F.sum("n").alias("n_links")).join(copies, "rep", "full").select("rep", (F.coalesce("n_links", F.lit(0)) + once - 1).alias("n_links")))
+    members = out.join(counts, out["class_id"] == counts["rep"], "left").select(*out.columns, F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
+    return members, links
 
 
 def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -406,7 +532,7 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 
     Only rows that a Bloom filter marks as leaving or repeated are shuffled; the others stay where they are.
     """
-    groups, _ = similarity_join(docs, text, key)
+    groups = _grouped(docs, text, key)[0]
     named = groups.where(F.col(key).isNotNull())
     leaves = settle(named.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("id")).union(named.groupBy(key).count().where("count > 1").select(key)).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(leaves))
