@@ -108,6 +108,20 @@ def without_intervals(text: Column, intervals: Column) -> Column:
     return F.filter(pieces, lambda p: p != "")
 
 
+def places(text: Column, pattern: str) -> Column:
+    """The intervals (array of struct(start, stop)) of a pattern's leftmost matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, b: F.struct(F.length(b).alias("b"), F.length(m).alias("m")))
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,stop:int>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        s = acc["at"] + x["b"]
+        e = s + x["m"]
+        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(s.alias("start"), e.alias("stop"))).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
 def offsets(blocks: DataFrame, by: str, order: str, text: str, gap: int = 2) -> DataFrame:
     """start of each block in the text that joins all blocks of a document with ``gap`` characters between."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
