@@ -7,9 +7,10 @@ A document's set holds the hashes (64 bit) of its distinct 5-word shingles.  Two
    under a global order of shingles; two similar sets share a shingle of their prefixes.  The order
    puts shingles that a sample of documents shows to be common last.  The sample only chooses among
    valid orders; the result is the same under any order.
-2. Index lists (the sets that hold a shingle in their prefix) are read in blocks by position.  At the
-   first shingle that two sets share, their overlap is at most what is left of either from that
-   position on, so blocks and pairs that cannot reach the needed overlap are skipped unseen.
+2. Index lists (the sets that hold a shingle in their prefix) are read in the order of positions.  At
+   the first shingle that two sets share, their overlap is at most what is left of either from that
+   position on, so pairs that cannot reach the needed overlap are dropped.  Each pair is tested for it:
+   lists are not dealt into position blocks, and nothing is skipped unseen.
 3. A list of up to ``SHORT`` sets gives its pairs.  A longer one is answered by set relations: its sets
    are compared with the ``PIVOTS`` sets of the lowest positions (those with the fewest rare shingles, so
    the nearest to what the list shares).  Pairs across the components that the verified links give are
@@ -21,7 +22,8 @@ A document's set holds the hashes (64 bit) of its distinct 5-word shingles.  Two
    differ by more than linked sets can, the pair is out.  The others are verified on the whole sets,
    and links give components.
 
-A list is streamed in sorted order, so a shingle of a third of all documents takes bounded memory.
+The first look streams a list in sorted order, so a shingle of a third of all documents takes bounded
+memory there.  The second look (step 3, across components) gathers one shingle's whole list in a task.
 A Bloom filter of at most ``BLOOM_WORDS`` words chooses the texts whose sets are built for steps 4 and 5; it may
 let more through, never fewer.
 
