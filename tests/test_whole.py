@@ -1,5 +1,6 @@
 import re
 
+from tsuzuri.llm import compression_quality
 from tsuzuri.plans import catalogue
 
 
@@ -10,3 +11,11 @@ def test_exclusive_bodies_hold_whole_pages(spark, tmp_path):
     got = {r.page_id: r.body for r in catalogue.queries()["exclusive_bodies"](spark, str(tmp_path)).collect()}
     assert got == {k: None if t is None else re.sub(r"(?is)<(script|style|nav)\b.*?</\1\s*>", "", t) for k, t in pages}
     assert got[1].endswith("<p>end<script>open") and got[2] == "short"
+
+
+def test_dictionaries_see_the_end_of_long_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(compression_quality.zstandard, "train_dictionary", lambda size, blocks: seen.extend(blocks) or compression_quality.zstandard.ZstdCompressionDict(b"x" * 64))
+    texts = [f"{i} " * 9000 + f"end{i}" for i in range(30)]
+    compression_quality._dictionary(texts)
+    assert b"".join(seen) == "".join(texts).encode()

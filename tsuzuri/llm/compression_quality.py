@@ -6,8 +6,8 @@ whole text.  The normalised difference (bad - good) / (bad + good) is positive w
 dictionary helps more.  A logistic curve over it, fitted on labelled rows that are in neither
 dictionary, turns it into a score from 0 to 1.
 
-Fitting uses at most ``PER_CLASS`` rows of each label, in the order of a hash of the key, and
-``BLOCKS_EACH`` blocks of each for a dictionary of ``DICT_BYTES``; scoring uses every row and its whole text.
+Fitting uses at most ``PER_CLASS`` rows of each label, in the order of a hash of the key, and all blocks
+of their texts for a dictionary of ``DICT_BYTES``; scoring uses every row and its whole text.
 
 Defined results: null and empty texts get the curve's value at a difference of 0.  If one label is
 missing, every score is the share of good labels (0.5 without labels).  Rows are neither dropped nor merged.
@@ -32,8 +32,6 @@ PER_CLASS = 1500
 DICT_BYTES = 64 << 10
 BLOCK = 1 << 10
 LEVEL = 3
-#: Blocks of a training text that a dictionary is trained on.
-BLOCKS_EACH = 8
 #: Of the fitted rows, one in CALIBRATE is kept for the curve.
 CALIBRATE = 3
 
@@ -72,7 +70,7 @@ def difference(text: str | None, good: bytes, bad: bytes) -> float:
 
 def _dictionary(texts: list[str]) -> bytes:
     """A trained dictionary, or the raw end of the texts where they are too few to train on."""
-    blocks = [p for t in texts for d in [t.encode()] for p in [d[i : i + BLOCK] for i in range(0, len(d), BLOCK)][:BLOCKS_EACH]]
+    blocks = [d[i : i + BLOCK] for d in (t.encode() for t in texts) for i in range(0, len(d), BLOCK)]
     if len(blocks) >= 200:
         try:
             return zstandard.train_dictionary(DICT_BYTES, blocks).as_bytes()
