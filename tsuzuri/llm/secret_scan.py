@@ -33,12 +33,15 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 # Thresholds in bits by class; the most that a window of 20 can have is log2(20) = 4.32.
 THRESHOLDS = {"hex": 3.0001, "single": 3.6001, "mixed": 3.8001}
+# A path's segment: words of one case or capitalised, joined by - or _ or as camel case, with short numbers.
+WORD = r"(?:(?:[a-z]+|[A-Z]+|[A-Z][a-z]+|[a-z]*(?:[A-Z][a-z]+)+)[0-9]{0,4}|[0-9]{1,4})"
+PART = rf"[_-]*{WORD}(?:[_-]+{WORD})*[_-]*"
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx",
     r"(?i)abcdefghij|0123456789|9876543210",
     r"(?i)^(sha1|sha256|sha384|sha512|md5)[-=_]",
-    r"^[A-Za-z_-]+(/[A-Za-z0-9_-]+)+/?$",
+    rf"^(?=[A-Za-z_-]+/){PART}(/{PART})+/?$",
 )
 
 
