@@ -49,7 +49,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None  # classifiers and token ids are beyond SQL; tests compare each stage with a plain version
+ORACLE_SQL = None  # classifiers and token ids are beyond SQL; no test runs the whole pipeline, and only some stages are tested, on a few rows
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
