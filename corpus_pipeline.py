@@ -1,7 +1,8 @@
 """Training-data pipeline over ``documents``: each stage's rows are written and read again by the next.
 
 Toxic documents go; one document of each near-duplicate group stays; secrets are masked; junk is thinned
-until clean text has its target share of the tokens, while clean documents all stay; the texts become ids.
+until clean text has its target share of the tokens, while clean documents all stay; the texts become ids,
+and the ids are decoded again.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_documents(docs, tokenizer_path())
+    return sentencepiece_bpe.encode_documents(docs, tokenizer_path(), decoded=True)
 
 
 STAGES = [

@@ -281,22 +281,25 @@ def codec(model: str) -> PrefixBpe:
     return PrefixBpe(model)
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", with_ids: bool = True, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id", with_ids: bool = True, digests: bool = False, decoded: bool = False) -> DataFrame:
     """``key``, ``n_tokens`` and, as asked for, ``ids`` (array of int), ``decoded`` text or their digests; one row for each input row."""
     field = docs.schema[key]
     schema = f"`{key}` {field.dataType.simpleString()}, n_tokens bigint"
     schema += ", ids array<int>" if with_ids else ""
+    schema += ", decoded string" if decoded else ""
     schema += ", ids_sha256 string, decoded_sha256 string" if digests else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(model)
         for b in slices(batches):
-            n, ids_out, one, two = [], [], [], []
+            n, ids_out, back, one, two = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 ids = bpe.encode(t)
                 n.append(len(ids))
                 if with_ids:
                     ids_out.append(pa.array(ids, pa.int32()))
+                if decoded:
+                    back.append(bpe.decode(ids))
                 if digests:
                     one.append(hashlib.sha256(bpe.joined(ids).encode()).hexdigest())
                     two.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
@@ -306,6 +309,9 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
                 flat = pa.concat_arrays(ids_out) if ids_out else pa.array([], pa.int32())
                 cols.append(pa.ListArray.from_arrays(lens, flat))
                 names.append("ids")
+            if decoded:
+                cols.append(pa.array(back, pa.string()))
+                names.append("decoded")
             if digests:
                 cols += [pa.array(one, pa.string()), pa.array(two, pa.string())]
                 names += ["ids_sha256", "decoded_sha256"]
