@@ -19,11 +19,11 @@ def test_encoding_equals_the_library():
     texts = ["", " ", "\n", "<s> </s> <0x0A>", "a" * 5000, "日" * 300, " " * 700 + "x"] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 50))) for _ in range(3000)]
     for t in texts:
         ids = own.encode(t)
-        assert ids == lib.encode(t) and own.decode(ids) == lib.decode(ids)
+        assert list(ids) == lib.encode(t) and own.decode(ids) == lib.decode(ids)
     for _ in range(500):
         ids = [rng.randrange(3, 32000) for _ in range(rng.randint(0, 6))]
         assert own.decode(ids) == lib.decode(ids)
-    assert own.encode(None) == []
+    assert len(own.encode(None)) == 0
 
 
 def test_shingle_sets():
@@ -87,7 +87,7 @@ def test_html_regions():
 def test_classifiers_on_degenerate_labels():
     assert compression_quality.fit([]).score("x") == 0.5 and compression_quality.fit([("a", 1)]).score(None) == 1.0
     assert toxicity.fit_chain([]).probabilities("x") == [0.0, 0.0]
-    assert soft_mixing.fit_domains([]).posterior(None)[0] == 1.0
+    assert soft_mixing.fit_domains([]).posterior(None)[0][0] == 1.0
     rows = [(f"nice words {i} here", (0, 0)) for i in range(30)] + [(f"bad idiot {i} words", (0, 1)) for i in range(30)]
     chain = toxicity.fit_chain(rows)
     assert chain.probabilities("an IDIOT!")[1] > 0.5 > chain.probabilities("nice here")[1]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where shared tables go when the session names no folder (single-machine tests only).
+#: Where shared tables go when a session on one machine names no folder, as in tests.
 LOCAL_SHARED = "/tmp/checkpoints/tsuzuri"
 
 #: Rows taken out of an Arrow batch at a time, so that few Python strings live at once.
@@ -21,12 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``; the setting is made only where it is unset."""
+    """A new path below ``spark.checkpoint.dir``, deleted when the driver's JVM ends.
+
+    Where the setting is unset, a session on one machine gets a local folder, and one on a cluster an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = LOCAL_SHARED
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tsuzuri-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tsuzuri-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -51,3 +61,20 @@ def mix_hash(*cols: Column | str, salt: int = 0) -> Column:
 
 def shuffle_width(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spare(columns: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column has it (in either case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the machine, as workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
