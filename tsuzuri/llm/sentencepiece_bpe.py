@@ -12,7 +12,8 @@ white-space marks have tied scores in the vocabulary, so a run's ids come from m
 step in the library's order (highest score, then leftmost).
 
 Defined results: null text encodes like the empty text, to no ids.  Texts of any length are encoded
-whole.  A literal U+2581 in a text is a white-space mark, as in the library, and decodes to a space.
+whole.  Repeated rows and null keys give a row each, an empty table none; columns other than key and text
+are not read, so clashing names do not matter.  Tied scores are merged leftmost first.  A literal U+2581 in a text is a white-space mark, as in the library, and decodes to a space.
 """
 
 from __future__ import annotations
@@ -20,22 +21,27 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tsuzuri.llm.common import slices
+from tsuzuri.llm.common import slices, trim
 
 MARK = "▁"
-#: Chunks after a white-space mark that a worker keeps, about 250 bytes each; a third as many of the others.
-#: Workers live on for later stages, so this memory stays taken.
-CACHE_CHUNKS = 300_000
-UNREACHED = -1 << 40
+#: Most that a worker keeps of each: chunks after a white-space mark and other chunks (their ids as 16-bit
+#: numbers, about 150 bytes a chunk), and pairs of tokens already compared (about 110 bytes each).  Each is
+#: emptied when it is full, and chunks at the end of each task, as workers live on for later stages.
+CACHE_CHUNKS, CACHE_BARE, CACHE_PAIRS = 240_000, 40_000, 160_000
+#: Longest chunk that is kept, in characters; longest run of spaces whose ids are.
+KEPT_CHARS, KEPT_RUN, KEPT_RUNS = 64, 64, 64
+UNREACHED = -1
 
 
 def _each_byte(e: UnicodeDecodeError) -> tuple[str, int]:
@@ -72,6 +78,9 @@ class PrefixBpe:
             raise ValueError("a piece holds a white-space mark after other characters")
         self.mark = self.rank[MARK][1]
         self.width = [len(p) for p in pieces]
+        self.ids = list(range(n))
+        self.kind = "H" if n <= 1 << 16 else "I"
+        self.lone_mark = array(self.kind, [self.mark]).tobytes()
         self.start = n << 20
         self.pairs: dict[int, bool] = {}
         self.order, self.left_of, self.right_of = [0.0] * n, list(range(n)), list(range(n))
@@ -79,15 +88,13 @@ class PrefixBpe:
         for p, (score, i) in list(self.rank.items()):
             if p == MARK or p.strip(MARK):
                 if parts := self._parts(i):  # a piece that its own parts never reach ends no prefix
-                    self.automaton.add_word(p, (i, len(p)))
-                    self.pairs[self.start + i] = True
+                    self.automaton.add_word(p, (i, len(p), i << 20))
                     self.left_of[i], self.right_of[i] = parts
                     self.order[i] = score if len(p) > 1 else 0.0
         self.automaton.make_automaton()
-        self.with_mark: dict[str, tuple[int, ...]] = {}
-        self.bare: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[int, list[int]] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.with_mark: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.runs: dict[int, bytes] = {}
         self.inside = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
 
     def _merge(self, s: str) -> list[int]:
@@ -139,11 +146,9 @@ class PrefixBpe:
 
     def _fits(self, key: int) -> bool:
         """Whether two tokens stay apart: no merge across their border comes before the merges that made them."""
-        if key < 0:
-            return False
         a, b = key >> 20, key & 0xFFFFF
         text, rank, order, limit, ok = self.text_of, self.rank, self.order, float("inf"), True
-        while ok:
+        while ok and a < len(text):  # any token fits the start
             made = rank.get(text[a] + text[b])
             if made is not None and made[0] < limit:
                 ok = False
@@ -153,99 +158,96 @@ class PrefixBpe:
                 limit, b = order[b] + 1, self.left_of[b]
             else:
                 break
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
         self.pairs[key] = ok
         return ok
 
     def _known(self, s: str) -> list[int]:
         """Ids of a chunk whose characters are all in the vocabulary."""
-        last = [UNREACHED] * (len(s) + 1)
-        last[0] = self.start
+        n = len(s)
+        last = [UNREACHED] * (n + 1)  # last token of the prefix that ends at each place, shifted; the empty prefix is at -1
+        last[n] = self.start
         seen, fits = self.pairs.get, self._fits
-        for end, (i, n) in self.automaton.iter(s):
-            end += 1
+        for end, (i, k, shifted) in self.automaton.iter(s):
             if last[end] < 0:
-                key = last[end - n] + i
-                ok = seen(key)
-                if ok is None:
-                    ok = fits(key)
-                if ok:
-                    last[end] = i << 20
-        out, at, width = [], len(s), self.width
-        while at > 0:
-            i = last[at] >> 20
+                key = last[end - k]
+                if key >= 0:
+                    key += i
+                    ok = seen(key)
+                    if ok is None:
+                        ok = fits(key)
+                    if ok:
+                        last[end] = shifted
+        out, at, width, ids = [], n - 1, self.width, self.ids
+        while at >= 0:
+            i = ids[last[at] >> 20]
             out.append(i)
             at -= width[i]
-        return out[::-1]
+        out.reverse()
+        return out
 
-    def _chunk(self, s: str) -> tuple[int, ...]:
-        """Ids of a chunk, cut where no piece holds the two characters side by side."""
+    def _chunk(self, s: str) -> list[int]:
+        """Ids of a chunk, cut around characters that no piece holds."""
+        if self.chars.issuperset(s):
+            return self._known(s)
         inside, at, out = self.inside, 0, []
-        for i in range(1, len(s)):
-            if s[i - 1 : i + 1] not in inside:
-                out += self._part(s[at:i])
+        for i in range(1, len(s) + 1):
+            if i == len(s) or s[i - 1 : i + 1] not in inside:
+                out += self._known(s[at:i]) if s[at] in self.chars else [self.byte_id[b] for b in s[at:i].encode()]
                 at = i
-        if at:
-            out += self._part(s[at:])
-            return tuple(out)
-        return tuple(self._known(s) if s[0] in self.chars else self._fallback(s))
+        return out
 
-    def _part(self, s: str) -> tuple[int, ...]:
-        ids = self.parts.get(s)
+    def _run(self, n: int) -> bytes:
+        ids = self.runs.get(n)
         if ids is None:
-            if len(self.parts) >= CACHE_CHUNKS // 3:
-                self.parts.clear()
-            ids = tuple(self._known(s) if s[0] in self.chars else self._fallback(s))
-            if len(s) < 100:
-                self.parts[s] = ids
+            ids = array(self.kind, self._merge(MARK * n)).tobytes()
+            if n <= KEPT_RUN and len(self.runs) < KEPT_RUNS:
+                self.runs[n] = ids
         return ids
 
-    def _fallback(self, s: str) -> list[int]:
-        return [self.byte_id[b] for b in s.encode()]
-
-    def _run(self, n: int) -> list[int]:
-        if n not in self.runs:
-            if len(self.runs) > 4096:
-                self.runs.clear()
-            self.runs[n] = self._merge(MARK * n)
-        return self.runs[n]
-
-    def _line(self, words: list[str], out: list[int]) -> None:
+    def _line(self, words: list[str], out: array) -> None:
         """Ids of a line that holds runs of spaces; words[0] has no mark before it."""
         if words[0]:
-            out.extend(self._get(self.bare, words[0], words[0]))
+            out.frombytes(self._get(self.bare, words[0], words[0]))
         n = 0
         for w in words[1:]:
             n += 1
             if w:
                 ids = self._get(self.with_mark, w, MARK + w)
-                if ids[0] == self.mark:
-                    out.extend(self._run(n))
-                    out.extend(ids[1:])
+                if ids.startswith(self.lone_mark):
+                    out.frombytes(self._run(n))
+                    out.frombytes(ids[len(self.lone_mark) :])
                 else:
                     if n > 1:
-                        out.extend(self._run(n - 1))
-                    out.extend(ids)
+                        out.frombytes(self._run(n - 1))
+                    out.frombytes(ids)
                 n = 0
         if n:
-            out.extend(self._run(n))
+            out.frombytes(self._run(n))
 
-    def _get(self, kept: dict[str, tuple[int, ...]], w: str, s: str) -> tuple[int, ...]:
+    def _get(self, kept: dict[str, bytes], w: str, s: str) -> bytes:
         ids = kept.get(w)
         if ids is None:
-            if len(kept) >= (CACHE_CHUNKS if kept is self.with_mark else CACHE_CHUNKS // 3):
-                kept.clear()
-            ids = self._chunk(s)
-            if len(w) < 100:
+            ids = array(self.kind, self._chunk(s)).tobytes()
+            if len(w) <= KEPT_CHARS:
+                if len(kept) >= (CACHE_CHUNKS if kept is self.with_mark else CACHE_BARE):
+                    kept.clear()
                 kept[w] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def release(self) -> None:
+        """Forget the chunks of this task's texts."""
+        for kept in (self.with_mark, self.bare, self.runs):
+            kept.clear()
+
+    def encode(self, text: str | None) -> array:
+        out = array(self.kind)
         if not text:
-            return []
+            return out
         if MARK in text:
             text = text.replace(MARK, " ")
-        out: list[int] = []
-        newline, first, kept = self.byte_id[10], True, self.with_mark
+        newline, first, kept, add = self.byte_id[10], True, self.with_mark, out.frombytes
         split_at = "\n" if "\n" not in self.chars else None
         for line in text.split(split_at) if split_at else [text]:
             words = line.split(" ")
@@ -258,20 +260,20 @@ class PrefixBpe:
                 self._line(words, out)
                 continue
             if words[0]:
-                out.extend(self._get(self.bare, words[0], words[0]))
+                add(self._get(self.bare, words[0], words[0]))
             for w in words[1:]:
                 ids = kept.get(w)
-                out.extend(ids if ids is not None else self._get(kept, w, MARK + w))
+                add(ids if ids is not None else self._get(kept, w, MARK + w))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        if not ids:
+    def decode(self, ids: Sequence[int]) -> str:
+        if not len(ids):
             return ""
         table = self.bytes_of
         body = self.first_of[ids[0]] + b"".join([table[i] for i in ids[1:]])
         return body.decode("utf-8", "tsuzuri_each_byte")
 
-    def joined(self, ids: list[int]) -> str:
+    def joined(self, ids: Sequence[int]) -> str:
         dec = self.decimal
         return ",".join([dec[i] for i in ids])
 
@@ -297,7 +299,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
                 ids = bpe.encode(t)
                 n.append(len(ids))
                 if with_ids:
-                    ids_out.append(pa.array(ids, pa.int32()))
+                    ids_out.append(pa.array(np.frombuffer(ids, bpe.kind).astype(np.int32)) if ids else pa.array([], pa.int32()))
                 if decoded:
                     back.append(bpe.decode(ids))
                 if digests:
@@ -316,5 +318,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
                 cols += [pa.array(one, pa.string()), pa.array(two, pa.string())]
                 names += ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.release()
+        trim()
 
     return docs.select(key, text).mapInArrow(run, schema)
