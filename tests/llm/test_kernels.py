@@ -42,9 +42,10 @@ def test_lists_lose_no_pair():
     lists = ngram_jaccard._Lists()
     for at in range(0, len(rows), 7):
         t, p, n, e = (np.array(x) for x in zip(*rows[at : at + 7]))
-        lists.feed(t, e, n.astype(np.int32), p.astype(np.int32))
+        lists.feed(t, np.zeros(len(t), np.int32), e, n.astype(np.int32), p.astype(np.int32))
     none = np.empty(0, np.int64)
-    lists.feed(none, none, none.astype(np.int32), none.astype(np.int32), end=True)
+    few = none.astype(np.int32)
+    lists.feed(none, few, none, few, few, end=True)
     got = {(int(a), int(b)) for o in lists.out if o[0] == ngram_jaccard.PAIR for a, b in zip(o[1], o[3])}
     for i in range(20):
         for j in range(i):

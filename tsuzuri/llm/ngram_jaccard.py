@@ -7,30 +7,31 @@ A document's set holds the hashes (64 bit) of its distinct 5-word shingles.  Two
    under a global order of shingles; two similar sets share a shingle of their prefixes.  The order
    puts shingles that a sample of documents shows to be common last.  The sample only chooses among
    valid orders; the result is the same under any order.
-2. Index lists (the sets that hold a shingle in their prefix) are read in the order of positions.  At
-   the first shingle that two sets share, their overlap is at most what is left of either from that
-   position on, so pairs that cannot reach the needed overlap are dropped.  Each pair is tested for it:
-   lists are not dealt into position blocks, and nothing is skipped unseen.
-3. A list of up to ``SHORT`` sets gives its pairs.  A longer one is answered by set relations: its sets
+2. Index lists (the sets that hold a shingle in their prefix) are read in the order of positions and cut
+   into blocks.  At the first shingle that two sets share, their overlap is at most what is left of either
+   from that position on; so a block whose least position and sizes cannot reach the overlap that
+   another block's sets need is skipped, unseen.  A shingle that the sample shows in very many sets has
+   several lists, so that no task reads them all.
+3. A list of up to ``SHORT`` sets gives its possible pairs.  A longer one is answered by set relations: its sets
    are compared with the ``PIVOTS`` sets of the lowest positions (those with the fewest rare shingles, so
-   the nearest to what the list shares).  Pairs across the components that the verified links give are
-   compared afterwards; by then the components are right, but links inside them can still be missing.
-4. Linked sets are of one component, so the missing links join two sets of long lists and of one
-   component.  These sets are dealt into blocks of like size, and each pair of blocks whose sizes can link
-   is compared whole in a task of its own, with exact overlaps.  This completes the links and counts.
+   the nearest to what the list shares).  The verified links give components; then pairs of different
+   components are looked for in pairs of blocks of the list, a task each, again skipped by size and position.
+4. Linked sets are of one component, so the links that are still missing join two sets of long lists and of
+   one component.  These are dealt into blocks of like size; in each pair of blocks that can link, answers are
+   derived from one set's: a set is held as its difference from that set, which decides most pairs by its
+   size alone, and the others by what two differences share.  This completes the links and counts.
 5. Candidate pairs of steps 2 and 3 are first compared on the shingles of one quarter of the hash range: if these alone
    differ by more than linked sets can, the pair is out.  The others are verified on the whole sets,
    and links give components.
 
-The first look streams a list in sorted order, so a shingle of a third of all documents takes bounded
-memory there.  The second look (step 3, across components) gathers one shingle's whole list in a task.
-A Bloom filter of at most ``BLOOM_WORDS`` words chooses the texts whose sets are built for steps 4 and 5; it may
-let more through, never fewer.
+Shingles and classes are told apart by 64-bit hashes, classes by their size as well.
 
 Defined results: texts with fewer than five words have their whole word sequence as the only shingle;
 null texts and texts without words have ``n_shingles`` 0 and link with nothing.  ``n_links`` counts the
 other rows that a row links with, exact copies among them.  Repeated rows are
-copies.  A null key has a null component.
+copies.  A null key has a null component.  Pairs at exactly 0.8 link.  An empty table gives no rows.  Columns other
+than key and text are not read, so clashing names do not matter; ``first_of_each`` keeps them all, and of repeated
+keys the row with the smallest text, then the smallest other columns.  Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from tsuzuri.llm.common import settle, shuffle_width, slices
+from tsuzuri.llm.common import settle, shuffle_width, slices, spare, trim
 from tsuzuri.llm.components import components
 
 WORDS = 5
@@ -52,9 +54,15 @@ WORDS = 5
 SAMPLE = 64
 #: Most common shingles that are broadcast (16 bytes each).
 COMMON = 300_000
+#: Lists up to this length give all their pairs at once; longer ones are answered by pivots, components and blocks.
 SHORT = 24
 PIVOTS = 8
-BLOOM_WORDS = 1 << 20
+#: Sets of a position block in a list.
+STEP = 4
+#: Estimated sets of a shingle beyond which it has several lists.
+LIST = 4096
+#: 64-bit words of a Bloom filter: 8 bits for each id within these bounds; a full filter only filters less.
+BLOOM_WORDS = 1 << 12, 1 << 22
 #: Shingles below this hash are a set's sketch.
 QUARTER = -(1 << 62)
 #: Sets, and shingles, of a block on average; columns of its matrix at a time.
@@ -103,11 +111,22 @@ def possible(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray) -> n
 
 
 class Order:
-    """Global order: shingles that are not common by hash, then common ones by count and hash."""
+    """Global order: shingles that are not common by hash, then common ones by count in the sample and hash."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
         by = np.argsort(tokens)
         self.tokens, self.counts = tokens[by], counts[by]
+        lists = self.counts * SAMPLE // LIST
+        self.hot, self.lists = self.tokens[lists > 1], lists[lists > 1]
+
+    def salts(self, tokens: np.ndarray, ent: int) -> np.ndarray:
+        """0, or for shingles of very many sets which of their lists the set ``ent`` goes to."""
+        out = np.zeros(len(tokens), np.int32)
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, tokens), len(self.hot) - 1)
+            found = self.hot[at] == tokens
+            out[found] = 1 + ent % self.lists[at[found]]
+        return out
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         k = prefix_length(len(s))
@@ -140,13 +159,16 @@ def _common(docs: DataFrame, text: str, key: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _entries(docs: DataFrame, text: str, key: str, order: Order) -> DataFrame:
-    """Rows (token, ent, size, pos) of prefixes, and for each document one with its key as token and pos -1."""
+    """Rows (token, salt, ent, size, pos) of prefixes, and for each document one with its key as token and pos -1.
+
+    A shingle that the sample shows in very many sets has several lists, told apart by ``salt`` from 1 on.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(order)  # COMMON entries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for b in slices(batches, 256):
-            keys, own, tokens, ents, sizes, places = b.column(0), [], [], [], [], []
+            keys, own, tokens, salts, ents, sizes, places = b.column(0), [], [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingle_set(t)
                 e = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
@@ -155,14 +177,17 @@ def _entries(docs: DataFrame, text: str, key: str, order: Order) -> DataFrame:
                     seen.add((e, len(s)))
                     p = order.prefix(s)
                     tokens.append(p)
+                    salts.append(order.salts(p, e))
                     ents.append(np.full(len(p), e, np.int64))
                     sizes.append(np.full(len(p), len(s), np.int32))
                     places.append(np.arange(len(p), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([e for e, _ in own], pa.int64()), pa.array([n for _, n in own], pa.int32()), pa.array(np.full(len(own), -1, np.int32))], names=["token", "ent", "size", "pos"])
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(np.zeros(len(own), np.int32)), pa.array([e for e, _ in own], pa.int64()), pa.array([n for _, n in own], pa.int32()), pa.array(np.full(len(own), -1, np.int32))], names=names)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, ents, sizes, places)], names=["token", "ent", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, salts, ents, sizes, places)], names=names)
+        trim()
 
-    return docs.select(key, text).mapInArrow(run, "token long, ent long, size int, pos int")
+    names = ["token", "salt", "ent", "size", "pos"]
+    return docs.select(key, text).mapInArrow(run, "token long, salt int, ent long, size int, pos int")
 
 
 PAIR, LONG, MEMBER = 0, 1, 2
@@ -170,61 +195,97 @@ FOUND = "kind int, a long, an int, b long, bn int"
 
 
 @lru_cache(maxsize=64)
-def _corners(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+def _corners(n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, k)
+
+
+def reachable(low: np.ndarray, high: np.ndarray, pos: np.ndarray, low2: np.ndarray, high2: np.ndarray, pos2: np.ndarray) -> np.ndarray:
+    """Whether blocks with these least and largest sizes and least positions can hold a possible pair."""
+    return (5 * high >= 4 * low2) & (5 * high2 >= 4 * low) & (5 * high - 9 * pos >= 4 * low2) & (5 * high2 - 9 * pos2 >= 4 * low)
 
 
 class _Lists:
-    """Reads entries sorted by (token, pos, size, ent) and gives candidate pairs; ``feed`` takes arrays of any length."""
+    """Reads entries sorted by (token, salt, pos, size, ent) and gives candidate pairs; ``feed`` takes arrays of any length.
+
+    A list is cut into blocks of ``STEP`` entries; as positions rise, blocks that cannot reach the overlap which another
+    block's sets need are skipped by their least position and sizes, unseen.
+    """
 
     def __init__(self) -> None:
         self.rest: tuple[np.ndarray, ...] | None = None
-        self.token, self.pivots = None, None  # of a list that is longer than one feed
+        self.list, self.pivots = None, None  # of a list that is longer than one feed
         self.out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def feed(self, token: np.ndarray, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, end: bool = False) -> None:
+    def feed(self, token: np.ndarray, salt: np.ndarray, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, end: bool = False) -> None:
         if self.rest is not None:
-            token, ent, size, pos = (np.concatenate(x) for x in zip(self.rest, (token, ent, size, pos)))
+            token, salt, ent, size, pos = (np.concatenate(x) for x in zip(self.rest, (token, salt, ent, size, pos)))
         self.rest = None
         if not len(token):
             return
         if not end:
-            cut = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+            others = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+            cut = int(others[-1]) + 1 if len(others) else 0
             if len(token) - cut <= 4096:
-                self.rest = tuple(x[cut:] for x in (token, ent, size, pos))
-                token, ent, size, pos = (x[:cut] for x in (token, ent, size, pos))
+                self.rest = tuple(x[cut:] for x in (token, salt, ent, size, pos))
+                token, salt, ent, size, pos = (x[:cut] for x in (token, salt, ent, size, pos))
                 if not cut:
                     return
-        keep = np.ones(len(token), bool)  # one entry for each set: classes that several tasks saw
-        keep[1:] = (token[1:] != token[:-1]) | (ent[1:] != ent[:-1]) | (size[1:] != size[:-1])
-        token, ent, size, pos = (x[keep] for x in (token, ent, size, pos))
-        starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+        keep = new.copy()  # one entry for each set: classes that several tasks saw
+        keep[1:] |= (ent[1:] != ent[:-1]) | (size[1:] != size[:-1])
+        token, salt, ent, size, pos, new = (x[keep] for x in (token, salt, ent, size, pos, new))
+        starts = np.flatnonzero(new)
         lens = np.diff(np.r_[starts, len(token)])
-        if self.pivots is not None and token[0] == self.token:
-            self._long(ent[: lens[0]], size[: lens[0]], pos[: lens[0]], self.pivots)
+        if self.pivots is not None and (token[0], salt[0]) == self.list:
+            self._long(token[0], ent[: lens[0]], size[: lens[0]], pos[: lens[0]], self.pivots)
             starts, lens = starts[1:], lens[1:]
         if len(starts):
             self.pivots = None
-        for n in np.unique(lens[(lens > 1) & (lens <= SHORT)]):
-            at = starts[lens == n][:, None] + np.arange(n)
-            i, j = _corners(int(n))
-            x, y = at[:, i].ravel(), at[:, j].ravel()
-            ok = possible(size[x], pos[x], size[y], pos[y])
-            self._pairs(ent[x[ok]], size[x[ok]], ent[y[ok]], size[y[ok]])
-        for s, n in zip(starts[lens > SHORT], lens[lens > SHORT]):
+        hot = (lens > SHORT) | (salt[starts] > 0)
+        for n in np.unique(lens[(lens > 1) & ~hot]):
+            first = starts[(lens == n) & ~hot]
+            if n <= STEP:
+                i, j = _corners(int(n), 1)
+                self._possible(ent, size, pos, (first[:, None] + i).ravel(), (first[:, None] + j).ravel())
+            else:
+                self._in_blocks(ent, size, pos, first, int(n))
+        for s, n in zip(starts[hot], lens[hot]):
             part = slice(s, s + n)
             self.pivots = tuple(x[s : s + min(n, PIVOTS)] for x in (ent, size, pos))
-            self.token = token[s]
-            self._long(ent[part], size[part], pos[part], self.pivots)
-        if len(starts) and self.token != token[-1]:
+            self.list = token[s], salt[s]
+            self._long(token[s], ent[part], size[part], pos[part], self.pivots)
+        if len(starts) and self.list != (token[-1], salt[-1]):
             self.pivots = None
 
-    def _long(self, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, pivots: tuple[np.ndarray, ...]) -> None:
+    def _in_blocks(self, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, first: np.ndarray, n: int) -> None:
+        """Pairs of lists of n entries that begin at ``first``, from the pairs of blocks that are not skipped."""
+        cuts = np.arange(0, n, STEP)
+        inside = first[:, None] + np.minimum(cuts[:, None] + np.arange(STEP), n - 1).ravel()
+        sizes = size[inside].reshape(len(first), len(cuts), STEP)
+        low, high, least = sizes.min(2), sizes.max(2), pos[first[:, None] + cuts]
+        i, j = _corners(len(cuts), 0)
+        lists, pair = np.nonzero(reachable(low[:, i], high[:, i], least[:, i], low[:, j], high[:, j], least[:, j]))
+        r, c = np.divmod(np.arange(STEP * STEP), STEP)
+        x, y = cuts[i[pair]][:, None] + r, cuts[j[pair]][:, None] + c
+        ok = (x < y) & (y < n)
+        base = np.broadcast_to(first[lists][:, None], x.shape)[ok]
+        self._possible(ent, size, pos, base + x[ok], base + y[ok])
+
+    def _possible(self, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+        ok = possible(size[x], pos[x], size[y], pos[y])
+        self._pairs(ent[x[ok]], size[x[ok]], ent[y[ok]], size[y[ok]])
+
+    def _long(self, token: np.int64, ent: np.ndarray, size: np.ndarray, pos: np.ndarray, pivots: tuple[np.ndarray, ...]) -> None:
+        cuts = np.arange(0, len(ent), 64 * STEP)
+        low, high = np.minimum.reduceat(size, cuts), np.maximum.reduceat(size, cuts)
         for e, n, p in zip(*pivots):
-            ok = possible(np.int64(n), np.int64(p), size, pos) & ((ent != e) | (size != n))
-            k = int(ok.sum())
-            self._pairs(np.full(k, e), np.full(k, n, np.int32), ent[ok], size[ok])
-        self.out.append((LONG, np.full(len(ent), self.token, np.int64), pos, ent, size))
+            n, p = np.int64(n), np.int64(p)
+            open_ = np.repeat(reachable(n, n, p, low, high, pos[cuts]), np.diff(np.r_[cuts, len(ent)]))
+            at = np.flatnonzero(open_)
+            at = at[possible(n, p, size[at], pos[at]) & ((ent[at] != e) | (size[at] != n))]
+            self._pairs(np.full(len(at), e), np.full(len(at), n, np.int32), ent[at], size[at])
+        self.out.append((LONG, np.full(len(ent), token, np.int64), pos, ent, size))
 
     def _pairs(self, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray) -> None:
         if len(a):
@@ -252,39 +313,38 @@ def _found(kind: int, a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarr
 def _read_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lists = _Lists()
     for b in batches:
-        pos = b.column(3).to_numpy()
+        pos = b.column(4).to_numpy()
         own = pos < 0
         if own.any():
             m = b.filter(pa.array(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.num_rows, MEMBER, np.int32)), m.column(0), m.column(2), m.column(1), m.column(2)], names=["kind", "a", "an", "b", "bn"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m.num_rows, MEMBER, np.int32)), m.column(0), m.column(3), m.column(2), m.column(3)], names=["kind", "a", "an", "b", "bn"])
             b = b.filter(pa.array(~own))
         if b.num_rows:
-            lists.feed(*(b.column(i).to_numpy() for i in range(4)))
+            lists.feed(*(b.column(i).to_numpy() for i in range(5)))
             yield from lists.taken()
     empty = np.empty(0, np.int64)
-    lists.feed(empty, empty, empty.astype(np.int32), empty.astype(np.int32), end=True)
+    few = empty.astype(np.int32)
+    lists.feed(empty, few, empty, few, few, end=True)
     yield from lists.taken()
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in long lists, which come sorted by token: (token, rep, size, pos, comp)."""
-
-    def answer(rep: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names, at, n = np.unique(comp, return_inverse=True, return_counts=True)
-        if len(names) == 1:
-            return
-        few = np.flatnonzero(at != int(np.argmax(n)))
-        done = np.zeros(len(rep), bool)
-        for i in few:
-            done[i] = True
-            ok = (comp != comp[i]) & ~done & possible(size[i], pos[i], size, pos)
-            k = np.flatnonzero(ok)
+    """Possible pairs of different components from pairs of blocks, which come sorted: (task, side, rep, size, pos, comp)."""
+
+    def answer(side: np.ndarray, rep: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)
+        if alone:
+            right = left
+        for at, i in enumerate(left):
+            k = right[at + 1 :] if alone else right
+            k = k[(comp[k] != comp[i]) & possible(size[i], pos[i], size[k], pos[k])]
             if len(k):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[k])), pa.array(np.maximum(rep[i], rep[k]))], names=["a", "b"])
 
     rest = None
     for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(5)]
+        cols = [b.column(i).to_numpy() for i in range(6)]
         if rest is not None:
             cols = [np.concatenate(x) for x in zip(rest, cols)]
         starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
@@ -295,19 +355,52 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answer(*rest[1:])
 
 
+def _second_look(marked: DataFrame, width: int) -> DataFrame:
+    """Candidates (a, b) of different components in long lists, from ``marked`` (token, rep, size, pos, comp).
+
+    A list is dealt into blocks of about ``BLOCK`` sets of like size and position; a component that fills
+    blocks of its own has these to itself.  Pairs of blocks meet in tasks of their own, unless their
+    sizes and positions rule links out or one component has both.
+    """
+    mixed = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    own = marked.join(mixed, "token").withColumn("k", F.floor(F.log("size") / F.log(F.lit(1.26)))).withColumn("w", F.floor(20 * F.col("pos") / F.col("size")))
+    where = ["token", "k", "w"]
+    counts = own.groupBy(*where, "comp").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") > BLOCK, F.col("comp")))
+    parts = counts.groupBy(*where, "large").agg(F.ceil(F.sum("n") / BLOCK).alias("g"))
+    named = counts.alias("c").join(parts.alias("p"), [F.col(f"c.{x}") == F.col(f"p.{x}") for x in where] + [F.col("c.large").eqNullSafe(F.col("p.large"))]).select(*[f"c.{x}" for x in (*where, "comp", "large")], "g")
+    block = F.xxhash64(*where, F.coalesce("large", F.lit(0)), F.col("large").isNull(), F.pmod(F.xxhash64("rep", F.lit(4)), F.col("g")))
+    rows = settle(own.join(named, [*where, "comp"]).select("token", block.alias("block"), "large", "rep", "size", "pos", "comp"))
+    blocks = settle(rows.groupBy("token", "block").agg(F.min("large").alias("large"), F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("least")))
+    x, y = blocks.alias("x"), blocks.alias("y")
+    can = " and ".join(("x.block <= y.block", "(x.large is null or y.large is null or x.large <> y.large)", "5 * x.high >= 4 * y.low", "5 * y.high >= 4 * x.low", "5 * x.high - 9 * x.least >= 4 * y.low", "5 * y.high - 9 * y.least >= 4 * x.low"))
+    tasks = settle(x.join(y, "token").where(can).select(F.xxhash64("x.token", "x.block", "y.block").alias("task"), "token", F.col("x.block").alias("one"), F.col("y.block").alias("two")))
+    sides = tasks.select("task", "token", F.col("one").alias("block"), F.lit(0).alias("side")).union(tasks.where("one <> two").select("task", "token", "two", F.lit(1)))
+    dealt = rows.join(sides, ["token", "block"]).select("task", "side", "rep", "size", "pos", "comp")
+    return dealt.repartition(width * 2, "task").sortWithinPartitions("task", "side", "rep").mapInArrow(_across, "a long, b long").distinct()
+
+
 def _bloom(ids: DataFrame) -> np.ndarray:
-    """64-bit words of a Bloom filter of the ids' hashes: two bits each; at most BLOOM_WORDS rows reach the driver."""
+    """64-bit words of a Bloom filter of the ids' hashes: two bits each; at most one row a word reaches the driver."""
+    n = 1 << min(max(ids.count() // 8, 1).bit_length(), BLOOM_WORDS[1].bit_length() - 1)
+    n = max(n, BLOOM_WORDS[0])
     bits = None
     for salt in (1, 2):
         h = F.xxhash64("id", F.lit(salt))
-        part = ids.select(F.pmod(F.shiftright(h, 6), F.lit(BLOOM_WORDS)).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(id, {salt}) & 63 as int))").alias("bit"))
+        part = ids.select(F.pmod(F.shiftright(h, 6), F.lit(n)).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(id, {salt}) & 63 as int))").alias("bit"))
         bits = part if bits is None else bits.union(part)
     got = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(BLOOM_WORDS, np.int64)
+    words = np.zeros(n, np.int64)
     words[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return words
 
 
+def _marked(words: np.ndarray, *hashes: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(hashes[0]), bool)
+    for h in hashes:
+        ok &= (words[(h >> 6) % len(words)] >> (h & 63)) & 1 == 1
+    return ok
+
+
 def sketch(s: np.ndarray) -> np.ndarray:
     """A quarter of the hash range, cut to 32 bits; shingles that meet so only hide differences."""
     return (s[: np.searchsorted(s, QUARTER)] >> 30).astype(np.uint32)
@@ -321,11 +414,7 @@ def _sets(docs: DataFrame, text: str, key: str, ids: DataFrame, whole: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for b in slices(batches, 512):
-            ok = np.ones(b.num_rows, bool)
-            for c in (1, 2):
-                h = b.column(c).to_numpy()
-                ok &= (words[(h >> 6) % BLOOM_WORDS] >> (h & 63)) & 1 == 1
-            b = b.filter(pa.array(ok))
+            b = b.filter(pa.array(_marked(words, b.column(1).to_numpy(), b.column(2).to_numpy())))
             if b.num_rows:
                 sets = [shingle_set(t) for t in b.column(3).to_pylist()]
                 data = [(s if whole else sketch(s)).tobytes() for s in sets]
@@ -364,13 +453,34 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Whether each set of ``left`` links with each of ``right``; overlaps are counted on all shingles that two sets share."""
-    sizes = [np.array([len(s) for s in x], np.int64) for x in (left, right)]
+    """Whether each set of ``left`` links with each of ``right``, derived from how the sets differ from one of them.
+
+    Sets s and t that differ from the first set by S and T differ from each other by the shingles in one of S
+    and T only.  So between ``||S| - |T||`` and ``|S| + |T|`` shingles differ, which decides most pairs of like sets; for the
+    others only the shared part of S and T is counted, and never what the sets have in common.
+    """
+    sets = [*left, *right]
+    apart = [np.setxor1d(sets[0], s, assume_unique=True) for s in sets]
+    n, d = np.array([len(s) for s in sets], np.int64), np.array([len(x) for x in apart], np.int64)
+    a, b, da, db = n[: len(left), None], n[None, len(left) :], d[: len(left), None], d[None, len(left) :]
+    most = a + b - 2 * needed(a, b)
+    said = da + db <= most
+    asked = ~said & (np.abs(da - db) <= most)
+    rows, cols = np.flatnonzero(asked.any(1)), np.flatnonzero(asked.any(0))
+    if len(rows):
+        both = _shared([apart[i] for i in rows], [apart[len(left) + j] for j in cols])
+        at = np.ix_(rows, cols)
+        said[at] |= (da + db)[at] - 2 * both <= most[at]
+    return said
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections, from a product of membership columns of the elements that two sets share."""
     sets = [*left, *right]
     at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
-    row = np.repeat(np.arange(len(sets)), np.concatenate(sizes))
-    shared = n[at] > 1
-    row, col = row[shared], (np.cumsum(n > 1) - 1)[at[shared]]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = n[at] > 1
+    row, col = row[twice], (np.cumsum(n > 1) - 1)[at[twice]]
     by = np.argsort(col, kind="stable")
     row, col = row[by], col[by]
     both = np.zeros((len(left), len(right)), np.float32)
@@ -379,7 +489,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
         m = np.zeros((len(sets), COLUMNS), np.float32)
         m[row[part], col[part] - first] = 1
         both += m[: len(left)] @ m[len(left) :].T
-    return 100 * both.astype(np.int64) >= 80 * (sizes[0][:, None] + sizes[1][None, :] - both.astype(np.int64))
+    return both.astype(np.int64)
 
 
 TASK = ("comp", "k", "i", "l", "j")
@@ -479,7 +589,7 @@ def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
     spark: SparkSession = docs.sparkSession
     width = shuffle_width(spark)
     order = Order(*_common(docs, text, key))
-    rows = _entries(docs, text, key, order).repartition(width * 2, "token").sortWithinPartitions("token", "pos", "size", "ent")
+    rows = _entries(docs, text, key, order).repartition(width * 2, "token", "salt").sortWithinPartitions("token", "salt", "pos", "size", "ent")
     found = settle(rows.mapInArrow(_read_lists, FOUND))
     members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("id"), F.col("an").alias("n"), F.col("b").alias("e"))
     classes = settle(members.where("n > 0").groupBy("e", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
@@ -493,8 +603,7 @@ def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
     links = settle(_links(pairs, sketches, docs, text, key))
     joined = components(links)
     marked = longs.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "size", "pos", F.coalesce("component", "rep").alias("comp"))
-    across = marked.repartition(width, "token").sortWithinPartitions("token", "pos").mapInArrow(_across, "a long, b long").distinct()
-    across = settle(across.join(pairs, ["a", "b"], "left_anti"))
+    across = settle(_second_look(settle(marked), width).join(pairs, ["a", "b"], "left_anti"))
     if not across.isEmpty():
         links = links.union(settle(_links(across, sketches, docs, text, key)))
         joined = components(links)
@@ -538,16 +647,14 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     named = groups.where(F.col(key).isNotNull())
     leaves = settle(named.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("id")).union(named.groupBy(key).count().where("count > 1").select(key)).distinct())
     shared = docs.sparkSession.sparkContext.broadcast(_bloom(leaves))
-    hashed = docs.withColumn("__h1", F.xxhash64(F.col(key), F.lit(1))).withColumn("__h2", F.xxhash64(F.col(key), F.lit(2)))
+    hashes = [spare(docs.columns, "h1"), spare(docs.columns, "h2")]
+    hashed = docs.select("*", *[F.xxhash64(F.col(key), F.lit(i)).alias(h) for i, h in enumerate(hashes, 1)])
 
     def split(marked: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = shared.value
             for b in slices(batches, 512):
-                ok = np.ones(b.num_rows, bool)
-                for c in (-2, -1):
-                    h = b.column(b.num_columns + c).to_numpy()
-                    ok &= (words[(h >> 6) % BLOOM_WORDS] >> (h & 63)) & 1 == 1
+                ok = _marked(words, b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy())
                 yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(ok == marked))
 
         return hashed.mapInArrow(run, docs.schema)
@@ -555,4 +662,14 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     gone = named.where(F.col(key) != F.col("component_id")).select(key).distinct()
     maybe = split(True).join(gone, key, "left_anti").select(*docs.columns)
     nulls = maybe.where(F.col(key).isNull())
-    return split(False).union(nulls).union(maybe.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    repeated = maybe.where(F.col(key).isNotNull())
+    rest = [c for c in docs.columns if c != key]
+    # Of repeated keys the row with the smallest text, then the smallest other columns that can be ordered.
+    rank = F.struct(F.col(text), *[F.col(f"`{c}`") for c in rest if c != text and not _unordered(docs.schema[c].dataType)])
+    least = repeated.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), rank).alias("row")).select(*[F.col(key) if c == key else F.col("row").getField(c).alias(c) for c in docs.columns])
+    return split(False).union(nulls).union(least)
+
+
+def _unordered(kind: DataType) -> bool:
+    """Whether Spark cannot compare values of this type."""
+    return any(x in kind.simpleString() for x in ("map<", "variant", "interval"))
