@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import settle, shuffle_width, slices
+from tsuzuri.llm.common import map_arrow, settle, shuffle_width, slices
 
 TREES = 10
 FIT_ROWS = 50_000
@@ -192,7 +192,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(np.ones(len(at), bool)), b.column(0).take(take), b.column(1).take(take)], names=["leaf", "q", "id", "v"])
 
     asked = usable.where(F.pmod("id", F.lit(every)) == 0).dropDuplicates(["id"]).select("id", "v")
-    both = classes.select(F.col("cid").alias("id"), "v").mapInArrow(index, KIND).union(asked.mapInArrow(probe, KIND))
+    both = map_arrow(classes.select(F.col("cid").alias("id"), "v"), index, KIND).union(map_arrow(asked, probe, KIND))
     dealt = both.repartition(shuffle_width(spark), "leaf").sortWithinPartitions("leaf", "q", "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in thinned(*(np.concatenate(x) for x in zip(*found)), k + 1)], names=["qid", "cid", "score"])
 
-    hits = dealt.mapInArrow(meet, HITS).groupBy("qid", "cid").agg(F.max("score").alias("score"))
+    hits = map_arrow(dealt, meet, HITS).groupBy("qid", "cid").agg(F.max("score").alias("score"))
     top = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")
     hits = hits.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1)
     named = hits.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id")).where("qid <> vec_id")

@@ -17,6 +17,9 @@ LOCAL_SHARED = "/tmp/checkpoints/tsuzuri"
 #: Rows taken out of an Arrow batch at a time, so that few Python strings live at once.
 SLICE = 128
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,6 +50,18 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of ``BATCH_BYTES`` or one row, so that long texts take little memory at once.
+
+    The session's own setting is lowered where it is larger, as Spark reads it when the query starts.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(conf.get(name).rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, rows):

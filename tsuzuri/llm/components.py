@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import settle
+from tsuzuri.llm.common import map_arrow, settle
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """``node`` and ``component`` (its smallest node) for every node of ``edges`` (u, v: long); self-loops are ignored."""
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    now = settle(edges.mapInArrow(_forest, "u long, v long").distinct())
+    now = settle(map_arrow(edges, _forest, "u long, v long").distinct())
     mark = None
     for _ in range(rounds):
         both = now.union(now.select("v", "u"))

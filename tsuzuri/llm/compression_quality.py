@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import slices
+from tsuzuri.llm.common import map_arrow, slices
 
 PER_CLASS = 1500
 DICT_BYTES = 64 << 10
@@ -128,7 +128,7 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
+    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import settle, slices
+from tsuzuri.llm.common import map_arrow, settle, slices
 
 SUPPORT = 0.5
 #: Pages below which repeated text is not held to be template text.
@@ -218,7 +218,7 @@ def deduce(tokens: list[tuple[str, int, int, int]]) -> tuple[str, list[str]]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """``host``, ``path`` and ``fixed`` (template texts) from all pages (page_id, host, html)."""
-    sums = pages.select("page_id", "host", "html").mapInArrow(_tokens, TOKENS)
+    sums = map_arrow(pages.select("page_id", "host", "html"), _tokens, TOKENS)
     sums = sums.groupBy("host", "token").agg(F.bit_xor("vec").alias("vec"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"))
     sums = settle(sums.where("pages > 1 or token = '' or token not like '%\x1f%'"))
     whole = sums.where("token = ''").select("host", F.col("pages").alias("all"))
@@ -230,7 +230,7 @@ def templates(pages: DataFrame) -> DataFrame:
             got = [deduce([(t["token"], t["vec"], t["pages"], t["chars"]) for t in ts]) for ts in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p for p, _ in got], pa.string()), pa.array([f for _, f in got], pa.list_(pa.string()))], names=["host", "path", "fixed"])
 
-    return settle(listed.mapInArrow(run, "host string, path string, fixed array<string>"))
+    return settle(map_arrow(listed, run, "host string, path string, fixed array<string>"))
 
 
 def main_text(page: str | None, path: str | None, fixed: list[str] | None) -> str:
@@ -254,4 +254,4 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(h, p, f) for h, p, f in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(joined, run, "page_id long, url string, text string, n_chars long")

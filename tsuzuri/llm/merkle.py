@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import settle, shuffle_width, slices
+from tsuzuri.llm.common import map_arrow, settle, shuffle_width, slices
 
 SECTION = 8
 PIECE = 6
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.string())], names=[key, "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
+    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fingerprint string")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -187,4 +187,4 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         other = fingerprint(e, known | lines) if e != own else mine
         return {"doc_id": k, "n_chars": len(own), "edited_sha256": hashlib.sha256(e.encode()).hexdigest(), "fingerprint": mine, "edited_fingerprint": other, "near_edited": likeness(mine, other), "near_next": likeness(mine, f)}
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

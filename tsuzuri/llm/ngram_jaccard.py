@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from tsuzuri.llm.common import settle, shuffle_width, slices, spare, trim
+from tsuzuri.llm.common import map_arrow, settle, shuffle_width, slices, spare, trim
 from tsuzuri.llm.components import components
 
 WORDS = 5
@@ -153,7 +153,7 @@ def _common(docs: DataFrame, text: str, key: str) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(n)], names=["token", "n"])
 
     some = docs.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SAMPLE)) == 0).select(text)
-    seen = some.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
+    seen = map_arrow(some, count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
     top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
     return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
@@ -187,7 +187,7 @@ def _entries(docs: DataFrame, text: str, key: str, order: Order) -> DataFrame:
         trim()
 
     names = ["token", "salt", "ent", "size", "pos"]
-    return docs.select(key, text).mapInArrow(run, "token long, salt int, ent long, size int, pos int")
+    return map_arrow(docs.select(key, text), run, "token long, salt int, ent long, size int, pos int")
 
 
 PAIR, LONG, MEMBER = 0, 1, 2
@@ -376,7 +376,7 @@ def _second_look(marked: DataFrame, width: int) -> DataFrame:
     tasks = settle(x.join(y, "token").where(can).select(F.xxhash64("x.token", "x.block", "y.block").alias("task"), "token", F.col("x.block").alias("one"), F.col("y.block").alias("two")))
     sides = tasks.select("task", "token", F.col("one").alias("block"), F.lit(0).alias("side")).union(tasks.where("one <> two").select("task", "token", "two", F.lit(1)))
     dealt = rows.join(sides, ["token", "block"]).select("task", "side", "rep", "size", "pos", "comp")
-    return dealt.repartition(width * 2, "task").sortWithinPartitions("task", "side", "rep").mapInArrow(_across, "a long, b long").distinct()
+    return map_arrow(dealt.repartition(width * 2, "task").sortWithinPartitions("task", "side", "rep"), _across, "a long, b long").distinct()
 
 
 def _bloom(ids: DataFrame) -> np.ndarray:
@@ -420,7 +420,7 @@ def _sets(docs: DataFrame, text: str, key: str, ids: DataFrame, whole: bool) ->
                 data = [(s if whole else sketch(s)).tobytes() for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(data, pa.binary())], names=["id", "n", "tokens"])
 
-    return marked.where(F.col(key).isNotNull()).mapInArrow(run, "id long, n int, tokens binary")
+    return map_arrow(marked.where(F.col(key).isNotNull()), run, "id long, n int, tokens binary")
 
 
 def _overlap(s: np.ndarray, t: np.ndarray) -> int:
@@ -579,9 +579,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
     """Pairs (u, v) of representatives whose sets link."""
-    likely = settle(_beside(pairs, sketches).mapInArrow(_plausible, "a long, b long").distinct())
+    likely = settle(map_arrow(_beside(pairs, sketches), _plausible, "a long, b long").distinct())
     sets = settle(_sets(docs, text, key, _ends(likely), whole=True))
-    return _beside(likely, sets).mapInArrow(_verify, "u long, v long").distinct()
+    return map_arrow(_beside(likely, sets), _verify, "u long, v long").distinct()
 
 
 def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -590,7 +590,7 @@ def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
     width = shuffle_width(spark)
     order = Order(*_common(docs, text, key))
     rows = _entries(docs, text, key, order).repartition(width * 2, "token", "salt").sortWithinPartitions("token", "salt", "pos", "size", "ent")
-    found = settle(rows.mapInArrow(_read_lists, FOUND))
+    found = settle(map_arrow(rows, _read_lists, FOUND))
     members = found.where(f"kind = {MEMBER}").select(F.col("a").alias("id"), F.col("an").alias("n"), F.col("b").alias("e"))
     classes = settle(members.where("n > 0").groupBy("e", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     rep = lambda e, n, name: classes.select(F.col("e").alias(e), F.col("n").alias(n), F.col("rep").alias(name))
@@ -631,8 +631,8 @@ def similarity_join(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     other = links.join(inside[0], "u", "left").join(inside[1], "v", "left").where("cu is null or cv is null").select("u", "v").distinct()
     ways = other.union(other.select("v", "u")).join(copies.withColumnRenamed("rep", "v"), "v", "left").select(F.col("u").alias("rep"), once.alias("n"))
     if rows is not None:
-        ways = ways.union(rows.mapInArrow(_block_counts, "rep long, n long"))
-        links = other.union(rows.mapInArrow(_block_links, "u long, v long"))
+        ways = ways.union(map_arrow(rows, _block_counts, "rep long, n long"))
+        links = other.union(map_arrow(rows, _block_links, "u long, v long"))
     counts = settle(ways.groupBy("rep").agg(F.sum("n").alias("n_links")).join(copies, "rep", "full").select("rep", (F.coalesce("n_links", F.lit(0)) + once - 1).alias("n_links")))
     members = out.join(counts, out["class_id"] == counts["rep"], "left").select(*out.columns, F.when(F.col("n_shingles") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"))
     return members, links
@@ -657,7 +657,7 @@ def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 ok = _marked(words, b.column(b.num_columns - 2).to_numpy(), b.column(b.num_columns - 1).to_numpy())
                 yield pa.RecordBatch.from_arrays(b.columns[:-2], names=b.schema.names[:-2]).filter(pa.array(ok == marked))
 
-        return hashed.mapInArrow(run, docs.schema)
+        return map_arrow(hashed, run, docs.schema)
 
     gone = named.where(F.col(key) != F.col("component_id")).select(key).distinct()
     maybe = split(True).join(gone, key, "left_anti").select(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tsuzuri.llm.common import slices, trim
+from tsuzuri.llm.common import map_arrow, slices, trim
 
 MARK = "▁"
 #: Most that a worker keeps of each: chunks after a white-space mark and other chunks (their ids as 16-bit
@@ -321,4 +321,4 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", key: str =
         bpe.release()
         trim()
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return map_arrow(docs.select(key, text), run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import mix_hash, settle, slices, trim
+from tsuzuri.llm.common import map_arrow, mix_hash, settle, slices, trim
 from tsuzuri.llm.toxicity import Index, features
 
 DOMAINS = ("clean", "junk", "toxic")
@@ -168,7 +168,7 @@ def memberships(docs: DataFrame, model: Domains, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[1] for g in got], pa.int64()), *(pa.array(p[:, j]) for j in range(len(DOMAINS)))], names=[key, "n_tokens", *names])
         trim()
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{c} double" for c in names))
+    return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint, " + ", ".join(f"{c} double" for c in names))
 
 
 def rates(members: DataFrame, targets: dict[str, float], base: str | None = None, keep: str | None = None, most: float | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import slices, spare, trim
+from tsuzuri.llm.common import map_arrow, slices, spare, trim
 
 CATEGORIES = ("low_quality", "toxic")
 BOUND = 1500
@@ -213,7 +213,7 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", flag: str = "is_tox
         trim()
 
     kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"{c} double" for c in names), f"`{flag}` boolean"])
-    return kept.mapInArrow(run, kinds)
+    return map_arrow(kept, run, kinds)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

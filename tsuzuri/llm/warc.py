@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import settle, shared_dir, shuffle_width, slices
+from tsuzuri.llm.common import map_arrow, settle, shared_dir, shuffle_width, slices
 
 READ = 1 << 16
 FIXED_DATE = "2000-01-01T00:00:00Z"
@@ -155,7 +155,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
             uri = folder.split(base)[0] + final
             yield pa.RecordBatch.from_pydict({"path": [uri], "records": [n], "bytes": [total]})
 
-    return named.mapInArrow(run, "path string, records bigint, bytes bigint")
+    return map_arrow(named, run, "path string, records bigint, bytes bigint")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def read(archives: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return archives.select("path").mapInArrow(run, "key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    return map_arrow(archives.select("path"), run, "key bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
