@@ -5,12 +5,16 @@ A text's lines are its paragraphs.  A paragraph ends a section where its hash sa
 after ``LONGEST`` words, so an edit moves borders only near itself.  A node's hash covers its children's hashes; equal texts have equal roots,
 and differing branches lead to the edit.
 
-The fingerprint is text: root hash, then sections joined by ``/``; a section is its hash, ``:`` and its
-paragraphs joined by ``.``; a paragraph is its pieces' hashes, 6 hex digits each.  The likeness of two
-fingerprints is the share of pieces they have in common (a multiset Dice coefficient); equal roots give 1,
-and branches with equal hashes are taken whole.
-
-Defined results: a null text has the empty text's fingerprint.  Two texts without pieces are alike (1).
+The fingerprint is text: root hash (SHA-256 over the sections' nodes), then sections joined by ``/``; a section is its node
+(128 bit, over its paragraphs' nodes, and these over the whole hashes of their pieces), ``:`` and its
+paragraphs joined by ``.``; a paragraph is its pieces' hashes, cut to 6 hex digits each, which serve the likeness only.  The
+likeness of two fingerprints is the share of pieces they have in common (a multiset Dice coefficient); equal
+roots give 1, and branches with equal nodes are taken whole.
+
+Defined results: a null text has the empty text's fingerprint.  Two texts without pieces are alike (1).  Every row has a
+row, repeated ones and those with a null key too (which come last); rows with equal keys follow each other in
+the order of their texts; a single row follows itself; an empty table gives none.  Columns other than key and text are not
+read, so clashing names do not matter; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -24,21 +28,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import map_arrow, settle, shuffle_width, slices
+from tsuzuri.llm.common import map_arrow, settle, shuffle_width, slices, trim
 
 SECTION = 8
 PIECE = 6
 LEAF = 6
-NODE = 16
 LONGEST = 16
+#: Words whose cuts a worker keeps, about 120 bytes each.
+KEPT = 100_000
 _CUTS: dict[str, bool] = {}
-_leaf = xxhash.xxh3_64_hexdigest
+_leaf = xxhash.xxh3_128_hexdigest
 
 
 def pieces(paragraph: str) -> list[str]:
-    """Hashes of a paragraph's pieces, in order; a piece has ``LONGEST`` words at most."""
+    """Hashes (128 bit) of a paragraph's pieces, in order; a piece has ``LONGEST`` words at most."""
     out, words, at, cuts = [], paragraph.split(" "), 0, _CUTS
-    if len(cuts) > 300_000:
+    if len(cuts) > KEPT:
         cuts.clear()
     for i, w in enumerate(words, 1):
         cut = cuts.get(w)
@@ -47,40 +52,52 @@ def pieces(paragraph: str) -> list[str]:
             if len(w) < 64:
                 cuts[w] = cut
         if cut or i - at == LONGEST:
-            out.append(_leaf(" ".join(words[at:i]))[:LEAF])
+            out.append(_leaf(" ".join(words[at:i])))
             at = i
     if at < len(words):
-        out.append(_leaf(" ".join(words[at:]))[:LEAF])
+        out.append(_leaf(" ".join(words[at:])))
     return out
 
 
-def paragraphs(text: str, known: dict[str, tuple[str, bool]] | None = None) -> dict[str, tuple[str, bool]]:
-    """For each paragraph its pieces, joined, and whether it ends a section; ``known`` holds some already."""
-    out: dict[str, tuple[str, bool]] = {}
+Paragraph = tuple[str, bool, str]
+
+
+def paragraphs(text: str, known: dict[str, Paragraph] | None = None) -> dict[str, Paragraph]:
+    """For each paragraph the short hashes of its pieces, joined, whether it ends a section, and its node; ``known`` holds some already."""
+    out: dict[str, Paragraph] = {}
     for line in text.split("\n"):
         if line not in out:
-            out[line] = (known or {}).get(line) or ("".join(pieces(line)), xxhash.xxh3_64_intdigest(line, 2) % SECTION == 0)
+            out[line] = (known or {}).get(line) or _paragraph(line)
     return out
 
 
-def fingerprint(text: str | None, known: dict[str, tuple[str, bool]] | None = None) -> str:
+def _paragraph(line: str) -> Paragraph:
+    own = pieces(line)
+    return "".join([p[:LEAF] for p in own]), xxhash.xxh3_64_intdigest(line, 2) % SECTION == 0, _node(own)
+
+
+def fingerprint(text: str | None, known: dict[str, Paragraph] | None = None) -> str:
     if not text:
-        return _node("")
+        return _root([])
     mine, sections, now = paragraphs(text, known), [], []
     for line in text.split("\n"):
-        joined, last = mine[line]
-        now.append(joined)
-        if last:
+        now.append(mine[line])
+        if now[-1][1]:
             sections.append(now)
             now = []
     if now:
         sections.append(now)
-    body = "/".join(f"{_node(j)}:{j}" for j in (".".join(s) for s in sections))
-    return f"{hashlib.sha256(text.encode()).hexdigest()[:NODE]}{_node(body)}/{body}"
+    nodes = [_node([p[2] for p in s]) for s in sections]
+    return "/".join([_root(nodes), *(f"{n}:{'.'.join([p[0] for p in s])}" for n, s in zip(nodes, sections))])
+
+
+def _node(children: list[str]) -> str:
+    """Hash of a node's children, which covers all text below it."""
+    return xxhash.xxh3_128_hexdigest("/".join(children))
 
 
-def _node(children: str) -> str:
-    return xxhash.xxh3_128_hexdigest(children)[:NODE]
+def _root(nodes: list[str]) -> str:
+    return hashlib.sha256("/".join(nodes).encode()).hexdigest()
 
 
 def _sections(fp: str) -> list[tuple[str, str]]:
@@ -93,7 +110,7 @@ def leaves(paragraphs: str) -> list[str]:
 
 def likeness(a: str, b: str) -> float:
     """Share of common pieces, from 0 to 1."""
-    if a == b:
+    if a.partition("/")[0] == b.partition("/")[0]:
         return 1.0
     x, y = _sections(a), _sections(b)
     same = Counter(h for h, _ in x) & Counter(h for h, _ in y)
@@ -180,6 +197,8 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 held = (p, r, k, t, f, lines)
             if out:
                 yield pa.RecordBatch.from_pylist(out, OUT)
+        _CUTS.clear()
+        trim()
 
     def row(held: tuple, t: str, f: str, lines: dict) -> dict:
         _, _, k, own, mine, known = held
