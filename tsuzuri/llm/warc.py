@@ -11,8 +11,12 @@ runs again, or twice at once, leaves the same file.
 The reader takes one archive at a time through incremental zlib decompression, frames records by
 their content length, and checks the block digest of each record and the payload digest of responses.
 
-Defined results: a null payload is the empty payload.  A repeated key with an equal payload is
-``response`` in every repeat if it is the group's smallest.  Broken digests or truncated records raise.
+Defined results: a null payload is the empty payload, a null URL gives no target header.  A repeated key with an
+equal payload is ``response`` in every repeat if it is the group's smallest; with another payload it is labelled
+by that payload.  A row without a key is a revisit where a row with a key has its payload, else a
+response; its record is named after the payload, and its key comes back as null.  URLs come back as they were.  Every row has a record, an
+empty table none, and payloads of any length are written whole.  Columns other than key, URL and payload are
+not read.  Broken digests or truncated records raise.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from tsuzuri.llm.common import map_arrow, settle, shared_dir, shuffle_width, sli
 
 READ = 1 << 16
 FIXED_DATE = "2000-01-01T00:00:00Z"
+ESCAPED = "X-Target-URI-Escaped"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -44,22 +49,27 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(key: int) -> str:
-    return f"<{uuid.UUID(int=key & ((1 << 64) - 1)).urn}>"
+def record_id(key: int | None, payload: bytes = b"") -> str:
+    """The key as a UUID; without a key a UUID of the payload, above all keys."""
+    n = key & ((1 << 64) - 1) if key is not None else 1 << 127 | int.from_bytes(hashlib.sha1(payload).digest()[:15])
+    return f"<{uuid.UUID(int=n).urn}>"
 
 
-def key_of(rid: str) -> int:
+def key_of(rid: str) -> int | None:
     n = uuid.UUID(rid.strip("<>")).int
+    if n >> 64:
+        return None
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
-def record(key: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One record as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {FIXED_DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key, payload)}", f"WARC-Date: {FIXED_DATE}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%')}")
+        odd = url != url.strip() or not url.isprintable()  # such a header would not come back as it was
+        head += [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=') if odd else url}"] + [f"{ESCAPED}: yes"] * odd
     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}"]
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}"]
@@ -110,7 +120,7 @@ def fields(head: dict[str, str], block: bytes) -> dict:
     to = head.get("warc-refers-to")
     return {
         "key": key_of(head["warc-record-id"]),
-        "url": unquote(head["warc-target-uri"]) if "warc-target-uri" in head else None,
+        "url": unquote(head["warc-target-uri"]) if ESCAPED.lower() in head else head.get("warc-target-uri"),
         "payload_bytes": size,
         "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
         "record_type": head["warc-type"],
@@ -120,12 +130,12 @@ def fields(head: dict[str, str], block: bytes) -> dict:
 
 
 def label(pages: DataFrame, key: str, payload: str, least: int) -> DataFrame:
-    """``key`` and ``refers_to`` (null for a response), one row for each key and payload; only digests move."""
+    """``k``, ``d`` (digest) and ``refers_to`` of each key and payload that is a revisit; only digests move."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    small = pages.select(F.col(key).alias("k"), F.sha1(body).alias("d"), (F.length(body) >= least).alias("big"))
-    first = settle(small.where("big").groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    joined = small.where("big").join(first, "d").where("k > first")
-    return joined.groupBy("k").agg(F.min("first").alias("refers_to"))
+    big = pages.where(F.length(body) >= least).select(F.col(key).alias("k"), F.sha1(body).alias("d"))
+    first = settle(big.groupBy("d").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null"))
+    joined = big.join(first, "d").where("k is null or k > first")
+    return joined.groupBy("k", "d").agg(F.min("first").alias("refers_to"))
 
 
 def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
@@ -133,7 +143,9 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     spark = pages.sparkSession
     folder = shared_dir(spark)
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(payload).alias("p"))
-    named = rows.join(label(pages, key, payload, least), "k", "left")
+    named = label(pages, key, payload, least).select(F.col("k").alias("lk"), "d", "refers_to")
+    own = F.sha1(F.coalesce(F.col("p"), F.lit("")).cast("binary"))
+    named = rows.join(named, F.col("k").eqNullSafe(F.col("lk")) & (own == F.col("d")), "left").select("k", "u", "p", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(folder)
@@ -141,13 +153,19 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
         mine = f"{base}/.{uuid.uuid4().hex}"
         n, total, name = 0, 0, hashlib.sha1()
         out = None
-        for b in slices(batches):
-            for k, u, p, to in zip(*(c.to_pylist() for c in b.columns)):
-                data = record(k, u, (p or "").encode(), to)
-                out = out or where.open_output_stream(mine, compression=None)
-                out.write(data)
-                name.update(data)
-                n, total = n + 1, total + len(data)
+        try:
+            for b in slices(batches):
+                for k, u, p, to in zip(*(c.to_pylist() for c in b.columns)):
+                    data = record(k, u, (p or "").encode(), to)
+                    out = out or where.open_output_stream(mine, compression=None)
+                    out.write(data)
+                    name.update(data)
+                    n, total = n + 1, total + len(data)
+        except BaseException:  # a failed task leaves no part of an archive
+            if out:
+                out.close()
+                where.delete_file(mine)
+            raise
         if out:
             out.close()
             final = f"{base}/{name.hexdigest()}.warc.gz"
