@@ -10,7 +10,11 @@ Fitting uses at most ``PER_CLASS`` rows of each label, in the order of a hash of
 of their texts for a dictionary of ``DICT_BYTES``; scoring uses every row and its whole text.
 
 Defined results: null and empty texts get the curve's value at a difference of 0.  If one label is
-missing, every score is the share of good labels (0.5 without labels).  Rows are neither dropped nor merged.
+missing, every score is the share of good labels (0.5 without labels).  Rows are neither dropped nor merged:
+repeated rows and null keys (never held out) have scores of their own, and an empty table none.  Labels with a null
+key or another value than 0 and 1 are not used; of conflicting labels of a key the bad one counts, and of
+repeated keys the smallest text is learned from.  Columns other than key and text are not read.  Fewer than 200 blocks of a
+label are too few to train a dictionary on; then their last ``DICT_BYTES`` are the dictionary as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import map_arrow, slices
+from tsuzuri.llm.common import map_arrow, slices, trim
 
 PER_CLASS = 1500
 DICT_BYTES = 64 << 10
@@ -110,13 +114,14 @@ def held_out(key: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[str | None, int]]:
     """At most ``per_class`` labelled texts of each class whose key is not held out, in a fixed order."""
     known = labels.select("doc_id", F.col("quality").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).collect()]
     if not chosen:
         return []
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.y, r.h) for r in chosen], "doc_id long, y int, h long")
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").collect()  # at most 2 * per_class keys
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id, r.text or ""))]
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * per_class keys
+    rows = rows.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (r.h, r.doc_id))]
 
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,6 +132,7 @@ def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         m = shared.value
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in b.column(1).to_pylist()], pa.float64())], names=[key, "score"])
+        trim()
 
     return map_arrow(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
 
