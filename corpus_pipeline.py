@@ -50,7 +50,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-ORACLE_SQL = None  # classifiers and token ids are beyond SQL; no test runs the whole pipeline, and only some stages are tested, on a few rows
+ORACLE_SQL = None  # classifiers and token ids are beyond SQL; tests/llm/test_pipeline.py compares every stage with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
