@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
         sections = sections_of(spark, a.source, a.ext)
         if a.sample:
             sections = corpus.sampled(sections, a.sample)
-        found = extract.extract_matches(segment.sentences(sections), lexicon.connectives() + [e for e in lexicon.FIXTURE if e.type == lexicon.FINAL])
+        found = extract.extract_matches(segment.sentences(sections), lexicon.connectives())
         found.drop("para", "line", "paragraph_text").write.mode("overwrite").parquet(a.out)
         return
     matches = spark.read.parquet(a.source)

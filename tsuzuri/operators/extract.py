@@ -57,10 +57,10 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTURE), kinds: Sequence[str] = (CONNECTIVE, FINAL), text: str = "sentence_text", cross_check: bool = True) -> DataFrame:
+def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTURE), kinds: Sequence[str] = (CONNECTIVE, FINAL), text: str = "sentence_text", cross_check: bool = True, strict: bool = False) -> DataFrame:
     """One row for each marker: the sentence's columns, type, expr, func, subfunc, position, end_position, span_text, rel_position.
 
-    Connectives: at most one a sentence.  Finals: longest first, without overlaps.  With
+    Connectives: at most one a sentence; with ``strict``, only those before a comma.  Finals: longest first, without overlaps.  With
     ``cross_check``, a connective and a final that overlap are both dropped.
     """
     own = list(enumerate(lexicon))
@@ -75,7 +75,8 @@ def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTU
         raw.append(F.when(screen, candidates(t, mine)).otherwise(_empty()))
     df = _once(sentences, "__raw", F.struct(raw[0].alias("ce"), raw[1].alias("sf")))
     df = df.where((F.size("__raw.ce") > 0) | (F.size("__raw.sf") > 0))
-    df = _once(df, "__kept", F.struct(best_connective(F.col("__raw.ce")).alias("ce"), longest_first(F.col("__raw.sf")).alias("sf")))
+    first = before_comma(F.col("__raw.ce"), t) if strict else F.col("__raw.ce")
+    df = _once(df, "__kept", F.struct(best_connective(first).alias("ce"), longest_first(F.col("__raw.sf")).alias("sf")))
     ce, sf = F.col("__kept.ce"), F.col("__kept.sf")
     if cross_check:
         ce, sf = without_overlap(ce, sf)
@@ -93,17 +94,57 @@ def match_tokens(tokens: Column, pattern: str) -> Column:
     return F.regexp_extract_all(coded, F.lit(f"(?:^|(?<=;))({pattern})"), F.lit(1))
 
 
+def escaped(s: Column) -> Column:
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        s = F.replace(s, F.lit(plain), F.lit(code))
+    return s
+
+
 def highlight(text: Column, spans: Column) -> Column:
     """Escaped text with ``<mark>`` around spans, which must not overlap: array of struct(start, stop)."""
-    escape = lambda s: F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        before = escape(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
-        inside = escape(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
+        before = escaped(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]))
+        inside = escaped(F.substring(text, s["start"] + 1, s["stop"] - s["start"]))
         return F.struct(s["stop"].alias("at"), F.concat(acc["out"], before, F.lit("<mark>"), inside, F.lit("</mark>")).alias("out"))
 
-    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], escape(F.substring(text, acc["at"] + 1, F.length(text)))))
+    return F.aggregate(F.array_sort(spans), start, step, lambda acc: F.concat(acc["out"], escaped(F.substring(text, acc["at"] + 1, F.length(text)))))
+
+
+def highlight_both(text: Column, conn: Column, end: Column) -> Column:
+    """Escaped text with classes ``conn``, ``end`` or, where spans of the two overlap, ``both``: arrays of struct(start, stop)."""
+    n = F.length(text)
+    ends = F.flatten(F.transform(F.concat(conn, end), lambda s: F.array(F.greatest(s["start"], F.lit(0)), F.least(s["stop"], n))))
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0), n), ends)))
+    parts = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    covers = lambda spans, p: F.exists(spans, lambda s: (s["start"] <= p["a"]) & (p["b"] <= s["stop"]))
+
+    def shown(p: Column) -> Column:
+        one, two = covers(conn, p), covers(end, p)
+        kind = F.when(one & two, "both").when(one, "conn").when(two, "end")
+        body = escaped(F.substring(text, p["a"] + 1, p["b"] - p["a"]))
+        return F.when(kind.isNull(), body).otherwise(F.concat(F.lit('<span class="'), kind, F.lit('">'), body, F.lit("</span>")))
+
+    return F.array_join(F.transform(F.filter(parts, lambda p: p["a"] < p["b"]), shown), "")
+
+
+def keep_first(spans: Column) -> Column:
+    """Spans without overlap by a sweep: earlier ones first, longer ones on ties."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (s["start"] - s["stop"]).alias("len"), s["stop"].alias("stop"), s["i"].alias("i"))))
+    plain = F.transform(order, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["i"].alias("i")))
+    return F.aggregate(plain, _empty(), lambda acc, x: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["stop"] <= x["start"]), F.array_append(acc, x)).otherwise(acc))
+
+
+def before_comma(spans: Column, text: Column) -> Column:
+    """Spans that a comma follows, as a strict search for connectives asks."""
+    return F.filter(spans, lambda s: F.substring(text, s["stop"] + 1, F.lit(1)).isin(",", "、", "，"))
+
+
+def spans_by_label(matches: DataFrame, by: str = "sentence_id", label: str = "expr") -> DataFrame:
+    """``by`` and a map from each label to its spans, sorted."""
+    one = matches.groupBy(by, label).agg(F.array_sort(F.collect_list(F.struct("position", "end_position"))).alias("spans"))
+    return one.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label), F.col("spans"))))).alias("spans"))
 
 
 def expand_functions(df: DataFrame, col: str = "func", kind: str = "type") -> DataFrame:

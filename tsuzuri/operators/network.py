@@ -60,11 +60,24 @@ def filtered(edge: DataFrame, node: DataFrame, min_pmi: float = 0.0, min_entropy
 
 
 def pajek(edge: DataFrame) -> DataFrame:
-    """Lines of a Pajek file: vertices in order of name, then arcs (column value, ordered by line)."""
-    names = edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct().withColumn("i", F.row_number().over(Window.orderBy("node")))
-    head = names.agg(F.concat(F.lit("*vertices "), F.count("*").cast("string")).alias("value")).select(F.lit(0).alias("line"), F.lit(0).alias("j"), "value")
-    vertices = names.select(F.lit(1).alias("line"), F.col("i").alias("j"), F.format_string('%d "%s"', "i", "node").alias("value"))
-    arcs = edge.join(names.select(F.col("node").alias("src"), F.col("i").alias("a")), "src").join(names.select(F.col("node").alias("dst"), F.col("i").alias("b")), "dst")
-    body = arcs.select(F.lit(3).alias("line"), (F.col("a") * 1_000_000 + F.col("b")).cast("int").alias("j"), F.format_string("%d %d %d", "a", "b", "weight").alias("value"))
-    middle = edge.sparkSession.createDataFrame([(2, 0, "*arcs")], "line int, j int, value string")
-    return head.union(vertices).union(middle).union(body).orderBy("line", "j").select("value")
+    """Lines of a Pajek file: vertices in order of name, then arcs (column value, ordered by line).
+
+    The file numbers its vertices, so names are ranked in one order; they are the expressions of a lexicon.
+    """
+    names = edge.select(F.col("src").alias("node")).union(edge.select("dst")).distinct().withColumn("i", F.row_number().over(Window.orderBy("node")).cast("long"))
+    row = lambda df, part, a, b, value: df.select(F.lit(part).alias("part"), a.cast("long").alias("a"), b.cast("long").alias("b"), value.alias("value"))
+    none = F.lit(0)
+    head = row(names.agg(F.count("*").alias("n")), 0, none, none, F.concat(F.lit("*vertices "), F.col("n").cast("string")))
+    vertices = row(names, 1, F.col("i"), none, F.format_string('%d "%s"', "i", "node"))
+    middle = row(edge.sparkSession.range(1), 2, none, none, F.lit("*arcs"))
+    arcs = edge.join(names.select(F.col("node").alias("src"), F.col("i").alias("x")), "src").join(names.select(F.col("node").alias("dst"), F.col("i").alias("y")), "dst")
+    body = row(arcs, 3, F.col("x"), F.col("y"), F.format_string("%d %d %d", "x", "y", "weight"))
+    return head.union(vertices).union(middle).union(body).orderBy("part", "a", "b").select("value")
+
+
+def drawn_parts(edge: DataFrame, min_weight: int = 1, min_degree: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) for a drawing: weight and degree cuts, then the logarithm of the weights."""
+    e = edge.where(F.col("weight") >= min_weight)
+    ends = e.select(F.col("src").alias("node")).unionAll(e.select("dst")).groupBy("node").agg(F.count("*").alias("degree")).where(F.col("degree") >= min_degree)
+    e = e.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return e.select("src", "dst", "weight", F.log10("weight").alias("log_weight")), ends

@@ -9,7 +9,7 @@ from tsuzuri.functions.text import row_key
 
 LINE = r"\R"
 # Section labels left out by default.
-EXCLUDED = ("references", "acknowledgments", "notes", "abstract", "keywords", "toc", "appendix", "author_bio", "unknown")
+EXCLUDED = ("references", "acknowledgments", "notes", "abstract", "keywords", "toc", "appendix", "author_bio", "author", "title", "subtitle", "unknown")
 
 
 def sections(documents: DataFrame) -> DataFrame:

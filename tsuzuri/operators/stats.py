@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +14,10 @@ from pyspark.sql import types as T
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL
 
 TINY = 1e-12
+#: Cells of a table that the driver takes.
+MOST_CELLS = 4_000_000
+#: Cells of a dense table.
+MOST_DENSE = 1_000_000_000
 
 
 def count_by(df: DataFrame, by: Sequence[str] = ("type", "genre1", "func", "subfunc", "expr")) -> DataFrame:
@@ -82,8 +87,12 @@ def contingency(df: DataFrame, cat: str | Sequence[str], expr: str = "expr", wid
 def dense(table: DataFrame) -> DataFrame:
     """All cells (cat, expr, n) of a contingency table with its margins: row, col, total; cells without rows have 0.
 
-    Both sides of the product are margins: distinct categories and expressions.
+    Both sides of the product are margins: distinct categories and expressions; a product of more than
+    ``MOST_DENSE`` cells raises, and ``table`` itself then has all that is not zero.
     """
+    size = table.agg(F.countDistinct("cat").alias("c"), F.countDistinct("expr").alias("e")).first()
+    if size.c * size.e > MOST_DENSE:
+        raise ValueError(f"{size.c} categories x {size.e} expressions are too many cells")
     rows = table.groupBy("cat").agg(F.sum("n").alias("row"))
     cols = table.groupBy("expr").agg(F.sum("n").alias("col"))
     total = table.agg(F.sum("n").alias("total"))
@@ -172,18 +181,74 @@ def llr_keyness(df: DataFrame, target: str, cat: str = "section", expr: str = "e
     return adjust(t, F.col("p"), correction)
 
 
+def keyness_by_category(df: DataFrame, cat: str = "section", expr: str = "expr", min_count: int = 5) -> DataFrame:
+    """cat, expr, a, b, llr, target_rel of every category against the rest, from one grouped count."""
+    n = df.where(F.col(cat).isNotNull()).groupBy(F.col(cat).alias("cat"), F.col(expr).alias("expr")).agg(F.count("*").alias("a"))
+    every = df.groupBy(F.col(expr).alias("expr")).agg(F.count("*").alias("both")).where(F.col("both") >= min_count)
+    own = n.groupBy("cat").agg(F.sum("a").alias("n1"))
+    whole = df.agg(F.count("*").alias("n"))  # one row
+    t = n.join(every, "expr").join(own, "cat").crossJoin(F.broadcast(whole))
+    t = t.withColumn("b", F.col("both") - F.col("a")).withColumn("n2", F.col("n") - F.col("n1"))
+    part = lambda o, m: F.when(F.col(o) > 0, F.col(o) * F.ln(F.col(o) / (F.col("both") * F.col(m) / F.col("n") + TINY))).otherwise(0.0)
+    rel = F.col("a") / F.greatest("n1", F.lit(1)) - F.col("b") / F.greatest("n2", F.lit(1))
+    return t.select("cat", "expr", "a", "b", (2 * (part("a", "n1") + part("b", "n2"))).alias("llr"), rel.alias("target_rel"))
+
+
 def top_characteristic(df: DataFrame, cats: Sequence[str], cat: str = "section", top: int = 5, min_count: int = 5) -> DataFrame:
     """rank x category table of the ``top`` over-represented expressions, as ``expr (llr)``."""
-    parts = [llr_keyness(df, c, cat, min_count=min_count, correction=None).where("target_rel > 0").withColumn("cat", F.lit(c)) for c in cats]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = keyness_by_category(df, cat, min_count=min_count).where(F.col("cat").isin(*cats) & (F.col("target_rel") > 0))
     by = Window.partitionBy("cat").orderBy(F.desc("llr"), "expr")
     rows = rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
     cell = F.format_string("%s (%.1f)", F.col("expr"), F.col("llr"))
     return rows.groupBy("rank").pivot("cat", list(cats)).agg(F.first(cell)).na.fill("").orderBy("rank")
 
 
+def over_under(keyness: DataFrame, top: int = 10, over: bool = True) -> DataFrame:
+    """The ``top`` over- or under-represented expressions of a keyness table."""
+    if over:
+        return keyness.where("target_rel > 0").orderBy(F.desc("llr"), F.desc("target_rel"), "expr").limit(max(0, top))
+    return keyness.where("target_rel < 0").orderBy(F.desc("llr"), "target_rel", "expr").limit(max(0, top))
+
+
+def chi2_p(summary: DataFrame) -> DataFrame:
+    """``chi2_summary`` with its p-value; 1 where there is no degree of freedom."""
+
+    @F.pandas_udf("double")
+    def upper(x: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([chi2_upper(float(a), int(k)) for a, k in zip(x, dof)])
+
+    return summary.withColumn("p", upper("chi2", "dof"))
+
+
+def chi2_upper(x: float, dof: int) -> float:
+    """Upper tail of the chi-square distribution, by the series or the continued fraction of the incomplete gamma function."""
+    if dof < 1 or x <= 0:
+        return 1.0
+    a, z = dof / 2, x / 2
+    scale = math.exp(-z + a * math.log(z) - math.lgamma(a))
+    if z < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= z / k
+            total += term
+        return max(0.0, 1 - total * scale)
+    b = z + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 10_000):
+        an = -i * (i - a)
+        b += 2
+        d = 1 / (an * d + b or 1e-300)
+        c = b + an / c or 1e-300
+        step = d * c
+        h *= step
+        if abs(step - 1) < 1e-15:
+            break
+    return scale * h
+
+
 def dominant_category(df: DataFrame, cat: str = "section", expr: str = "expr") -> DataFrame:
     n = df.groupBy(expr, cat).agg(F.count("*").alias("n"))
     return n.groupBy(F.col(expr).alias("expr")).agg(F.max_by(F.col(cat), F.struct("n", F.col(cat))).alias("category"), F.max("n").alias("n"))
@@ -194,7 +259,10 @@ def correspondence(table: DataFrame, axes: int = 2) -> tuple[DataFrame, DataFram
 
     The table holds one row for each category and expression of a lexicon; it is aggregated in Spark first.
     """
-    rows = table.collect()
+    size = table.agg(F.countDistinct("cat").alias("c"), F.countDistinct("expr").alias("e")).first()
+    if size.c * size.e > MOST_CELLS:
+        raise ValueError(f"correspondence analysis of {size.c} x {size.e} cells does not fit the driver")
+    rows = table.collect()  # MOST_CELLS at most
     cats, exprs = sorted({r.cat for r in rows}), sorted({r.expr for r in rows})
     if len(cats) < 2 or len(exprs) < 2:
         raise ValueError("correspondence analysis needs two categories and two expressions")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tsuzuri.functions.text import ascii_digits, strip
 
@@ -49,19 +51,24 @@ def number_prefix(heading: Column) -> Column:
 
 
 def heading_labels(heading: Column) -> Column:
-    """Sorted labels of a heading: matches at its start count first, then the longest; ``references`` excludes the others.
+    """Sorted labels of a heading: the longest matches count, of equal ones those at its start; ``references`` excludes the others.
 
     A match inside the first ``HEAD`` characters counts unless kanji, katakana or a letter stands before it.
     """
     body = F.substring(strip(F.regexp_replace(F.regexp_replace(heading, r"([0-9]+)\.\s+([0-9]+)", "$1.$2"), NUMBER, "")), 1, HEAD)
     hits = []
-    for i, (label, pattern) in enumerate(RULES):
-        at_start = body.rlike(f"(?i)^(?:{pattern})")
-        inside = body.rlike(f"(?i)(?<![{KANA_OR_WORD}])(?:{pattern})")
-        joined = body.rlike(f"(?i)(?:と|の|及び|および|・)(?:{pattern})")
-        hits.append(F.when(at_start | inside | joined, F.lit(label)))
-    found = F.array_sort(F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull())))
-    return F.when(F.array_contains(found, "references"), F.array(F.lit("references"))).otherwise(found)
+    for label, pattern in RULES:
+        first = F.regexp_extract(body, f"(?i)^(?:{pattern})", 0)
+        inside = F.regexp_extract(body, f"(?i)(?<![{KANA_OR_WORD}])(?:{pattern})", 0)
+        joined = F.regexp_extract(body, f"(?i)(?:と|の|及び|および|・)((?:{pattern}))", 1)
+        size = F.greatest(F.length(inside), F.length(joined))
+        hit = lambda n, at: F.struct(n.alias("n"), F.lit(at).alias("anchored"), F.lit(label).alias("label"))  # noqa: B023, E731
+        hits.append(F.when(first != "", hit(F.length(first), 1)).when(size > 0, hit(size, 0)))
+    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    best = F.array_max(F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["anchored"].alias("anchored"))))
+    kept = F.filter(found, lambda x: (x["n"] == best["n"]) & (x["anchored"] == best["anchored"]))
+    references = F.exists(found, lambda x: x["label"] == "references")
+    return F.when(references, F.array(F.lit("references"))).otherwise(F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["label"]))))
 
 
 def with_parents(labels: Column) -> Column:
@@ -77,15 +84,29 @@ def primary_label(labels: Column) -> Column:
 
 
 def tree(nodes: DataFrame, doc: str = "doc", at: str = "idx", level: str = "level", start: str = "start", doc_len: str = "doc_len") -> DataFrame:
-    """parent (nearest earlier node of a smaller level), stop (start of the next node whose level is no deeper, else the document's length), smooth (no jump by more than one level)."""
-    order = Window.partitionBy(doc).orderBy(at)
-    before = F.collect_list(F.struct(F.col(level).alias("l"), F.col(at).alias("i"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.collect_list(F.struct(F.col(level).alias("l"), F.col(start).alias("s"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    out = nodes.withColumn("__b", before).withColumn("__a", after).withColumn("__n", F.row_number().over(order))
-    parent = F.try_element_at(F.filter("__b", lambda x: x["l"] < F.col(level)), F.lit(-1))["i"]
-    stop = F.coalesce(F.get(F.filter("__a", lambda x: x["l"] <= F.col(level)), F.lit(0))["s"], F.col(doc_len))
-    smooth = F.col("__n") + F.min(F.col(level) - F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("parent", parent).withColumn("stop", stop).withColumn("smooth", smooth).drop("__a", "__b", "__n")
+    """parent (nearest earlier node of a smaller level), stop (start of the next node whose level is no deeper, else the document's length), smooth (no jump by more than one level).
+
+    One pass with a stack over each document's nodes.
+    """
+    kind = lambda c: nodes.schema[c].dataType
+    schema = StructType([*nodes.schema.fields, StructField("parent", kind(at)), StructField("stop", kind(start)), StructField("smooth", LongType())])
+
+    whole = isinstance(kind(at), (LongType, IntegerType))
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(at, kind="stable")
+        levels, places, starts = rows[level].tolist(), rows[at].tolist(), rows[start].tolist()
+        parent, stop, smooth, stack, least = [None] * len(rows), rows[doc_len].tolist(), [], [], None
+        for i, own in enumerate(levels):
+            while stack and levels[stack[-1]] >= own:
+                stop[stack.pop()] = starts[i]
+            parent[i] = places[stack[-1]] if stack else None
+            stack.append(i)
+            least = own - i if least is None else min(least, own - i)
+            smooth.append(i + least)
+        return rows.assign(parent=pd.array(parent, "Int64") if whole else parent, stop=stop, smooth=smooth)
+
+    return nodes.groupBy(doc).applyInPandas(walk, schema)
 
 
 def propagate(nodes: DataFrame, doc: str = "doc", at: str = "idx", labels: str = "labels") -> DataFrame:
@@ -139,3 +160,48 @@ def heading_like(text: Column) -> Column:
     """Whether a line looks like a heading."""
     t = strip(ascii_digits(text))
     return (F.length(t) > 0) & (F.length(t) <= 120) & ~t.rlike("[。．！？!?]") & ~t.rlike("[①-⑳]") & (F.length(F.regexp_replace(t, "[^、，,]", "")) <= 1) & ~t.rlike("(?:する|した|である|ます|です|いる)$") & ((F.length(t) <= 40) | t.rlike("[:：—–-]"))
+
+
+def heading_prefix_style(heading: Column) -> Column:
+    """Style of a heading's number: parenthesis, circled, dot, roman, kanji, plain, other or none."""
+    p = number_prefix(heading)
+    return (
+        F.when(p.isNull(), "none")
+        .when(p.rlike("^[（(]"), "parenthesis")
+        .when(p.rlike("^[①-⑳]"), "circled")
+        .when(p.rlike("[0-9０-９][.．][0-9０-９]"), "dot")
+        .when(p.rlike("^[IVX]+"), "roman")
+        .when(p.rlike("^[一二三四五六七八九十]+"), "kanji")
+        .when(p.rlike("^[0-9０-９]+"), "plain")
+        .otherwise("other")
+    )
+
+
+def numeric_components(heading: Column) -> Column:
+    """How many numbers a heading's number has: 2 for 3.1."""
+    return F.size(F.regexp_extract_all(F.coalesce(number_prefix(heading), F.lit("")), F.lit("([0-9０-９]+)"), F.lit(1)))
+
+
+def author_like(line: Column) -> Column:
+    """Whether a line names authors: an affiliation or bracketed names."""
+    t = strip(line)
+    return (F.length(t) > 0) & (F.length(t) <= 80) & (t.rlike("大学|研究所|研究科|学部|大学院|学会|センター|株式会社") | t.rlike(r"^[^（(]{1,20}[（(][^）)]{1,40}[）)]$"))
+
+
+def line_ranges(text: Column) -> Column:
+    """Array of struct(line, start, stop) of the lines of a text that are not blank."""
+    parts = F.split(F.coalesce(text, F.lit("")), "\n")
+    sizes = F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.rlike(r"\S").alias("full")))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.expr("cast(array() as array<struct<line:int,start:int,stop:int>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.struct(acc["i"].alias("line"), acc["at"].alias("start"), (acc["at"] + x["n"]).alias("stop"))
+        return F.struct((acc["at"] + x["n"] + 1).alias("at"), (acc["i"] + 1).alias("i"), F.when(x["full"], F.array_append(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+
+
+def sentence_of(text: Column, position: Column) -> Column:
+    """struct(sentence, body) of the line that holds a position; -1 and null where none does."""
+    hit = F.get(F.filter(line_ranges(text), lambda x: (x["start"] <= position) & (position < x["stop"])), F.lit(0))
+    return F.struct(F.coalesce(hit["line"], F.lit(-1)).alias("sentence"), F.when(hit.isNotNull(), F.substring(text, hit["start"] + 1, hit["stop"] - hit["start"])).alias("body"))

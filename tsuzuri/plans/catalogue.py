@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsuzuri.functions import text as tx
-from tsuzuri.operators import extract, lexicon, network, search, segment, stats, structure
+from tsuzuri.operators import extract, lexicon, network, reports, search, segment, stats, structure
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE
-from tsuzuri.sources import corpus
+from tsuzuri.sources import corpus, store
 from tsuzuri.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_matches(sents(spark, d))
 
 
+def found_once(spark: SparkSession, d: str) -> DataFrame:
+    """Matches for steps that read them several times."""
+    return store.once(found(spark, d))
+
+
 def r6(c):
     return F.round(c, 6) + 0.0
 
@@ -137,9 +142,10 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", r6(tx.cjk_share(F.col("text"))).alias("share"))
 
 
-@query("cjk_ratio_filter", f"SELECT doc_id FROM (SELECT doc_id, text, regexp_replace(text, '[\\s{_IGN}]', '', 'g') AS b FROM documents) WHERE length(b) > 0 AND ((length(text) > 100 AND length(regexp_replace(b, '[^{tx.CJK}]', '', 'g')) > 20) OR length(regexp_replace(b, '[^{tx.CJK}]', '', 'g')) / length(b) >= 0.6)")
+@query("cjk_ratio_filter", f"SELECT doc_id FROM (SELECT doc_id, text, regexp_replace(text, '[\\s{_IGN}]', '', 'g') AS b FROM (SELECT doc_id, translate(text, 'aeiourn', 'あえいおうらん') AS text FROM documents)) WHERE length(b) > 0 AND ((length(b) <= 10 AND length(regexp_replace(b, '[^{tx.CJK}]', '', 'g')) >= 1) OR (length(text) > 100 AND length(regexp_replace(b, '[^{tx.CJK}]', '', 'g')) > 20) OR length(regexp_replace(b, '[^{tx.CJK}]', '', 'g')) / length(b) >= 0.6)")
 def _(spark, d):
-    return table(spark, d, "documents").where(tx.mostly_cjk(F.col("text"))).select("doc_id")
+    kana = table(spark, d, "documents").withColumn("text", F.translate("text", "aeiourn", "あえいおうらん"))
+    return kana.where(tx.mostly_cjk(F.col("text"))).select("doc_id")
 
 
 @query("collapse_whitespace", f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>', chr(10), 'g'), '(?i)</?sup\\b[^>]*>', '', 'g'), '([{tx.CJK}])[ \\t　]+([{tx.CJK}])', '\\1\\2', 'g')) AS digest FROM pages")
@@ -147,14 +153,14 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(tx.collapse_cjk_space(tx.strip_inline_html(F.col("html"))).cast("binary")).alias("digest"))
 
 
-@query("headings_html", "SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages")
+@query("headings_html", "SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<[^>]*>', '', 'g') AS heading FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1), "<[^>]*>", "").alias("heading"))
 
 
-@query("page_blocks", "SELECT page_id, CAST(i - 1 AS BIGINT) AS block, b AS body FROM (SELECT page_id, unnest(x) AS b, generate_subscripts(x, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '<(?:p|li)>([^<]*)</(?:p|li)>', 1) AS x FROM pages))")
+@query("page_blocks", "SELECT page_id, CAST(i - 1 AS BIGINT) AS block, b AS body FROM (SELECT page_id, unnest(x) AS b, generate_subscripts(x, 1) AS i FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<(?:p|li)>(.*?)</(?:p|li)>', 1), lambda b: regexp_replace(b, '<[^>]*>', '', 'g')) AS x FROM pages))")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<(?:p|li)>([^<]*)</(?:p|li)>"), F.lit(1))).alias("block", "body"))
+    return table(spark, d, "pages").select("page_id", F.posexplode(F.transform(F.regexp_extract_all("html", F.lit("(?s)<(?:p|li)>(.*?)</(?:p|li)>"), F.lit(1)), lambda b: F.regexp_replace(b, "<[^>]*>", ""))).alias("block", "body"))
 
 
 # Headings with their labels.
@@ -167,27 +173,34 @@ def _(spark, d):
     return h.select("heading", structure.primary_label(structure.with_parents(structure.heading_labels(F.col("heading")))).alias("label"), structure.number_prefix(F.col("heading")).alias("prefix"))
 
 
-_NODES = [(1, i, lv, (i - 1) * 10, 50) for i, lv in enumerate((2, 3, 4, 3, 2), 1)] + [(2, i, lv, (i - 1) * 7, 42) for i, lv in enumerate((2, 5, 5, 3, 4, 2), 1)]
-_NODES_SQL = "WITH n(doc, idx, level, start, doc_len) AS (VALUES " + ", ".join(map(str, _NODES)) + ")"
+# Levels of the elements of a page that are nodes of its tree.
+_LEVELS = {"html": 1, "body": 2, "nav": 3, "article": 3, "footer": 3, "ul": 4, "h1": 4, "p": 5, "li": 6}
+_OPENED = "<(" + "|".join(_LEVELS) + ")[ >]"
+_NODES_SQL = f"""WITH o AS (SELECT page_id AS doc, regexp_extract_all(html, '{_OPENED}', 1) AS x FROM pages),
+ n AS (SELECT doc, CAST(idx AS BIGINT) AS idx, CAST(list_extract(map_extract(MAP {{{", ".join(f"'{k}': {v}" for k, v in _LEVELS.items())}}}, x[idx]), 1) AS BIGINT) AS level, CAST((idx - 1) * 10 AS BIGINT) AS start, CAST(len(x) * 10 AS BIGINT) AS doc_len FROM (SELECT doc, x, unnest(range(1, len(x) + 1)) AS idx FROM o))"""
 
 
-def _nodes(spark):
-    return structure.tree(spark.createDataFrame(_NODES, "doc long, idx long, level long, start long, doc_len long"))
+def _nodes(spark, d):
+    opened = F.regexp_extract_all("html", F.lit(_OPENED), F.lit(1))
+    levels = F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv])
+    n = table(spark, d, "pages").select(F.col("page_id").alias("doc"), F.size(opened).alias("n"), F.posexplode(opened).alias("i", "name"))
+    n = n.select("doc", (F.col("i") + 1).cast("long").alias("idx"), levels[F.col("name")].cast("long").alias("level"), (F.col("i") * 10).cast("long").alias("start"), (F.col("n") * 10).cast("long").alias("doc_len"))
+    return structure.tree(n)
 
 
 @query("section_tree", _NODES_SQL + " SELECT CAST(doc AS BIGINT) AS doc, CAST(idx AS BIGINT) AS idx, CAST((SELECT max(b.idx) FROM n b WHERE b.doc = a.doc AND b.idx < a.idx AND b.level < a.level) AS BIGINT) AS parent FROM n a")
 def _(spark, d):
-    return _nodes(spark).select("doc", "idx", "parent")
+    return _nodes(spark, d).select("doc", "idx", "parent")
 
 
 @query("section_end", _NODES_SQL + " SELECT CAST(doc AS BIGINT) AS doc, CAST(idx AS BIGINT) AS idx, CAST(coalesce((SELECT min(b.start) FROM n b WHERE b.doc = a.doc AND b.idx > a.idx AND b.level <= a.level), doc_len) AS BIGINT) AS stop FROM n a")
 def _(spark, d):
-    return _nodes(spark).select("doc", "idx", "stop")
+    return _nodes(spark, d).select("doc", "idx", "stop")
 
 
 @query("smooth_levels", _NODES_SQL + " SELECT CAST(doc AS BIGINT) AS doc, CAST(idx AS BIGINT) AS idx, CAST(idx + (SELECT min(b.level - b.idx) FROM n b WHERE b.doc = a.doc AND b.idx <= a.idx) AS BIGINT) AS smooth FROM n a")
 def _(spark, d):
-    return _nodes(spark).select("doc", "idx", "smooth")
+    return _nodes(spark, d).select("doc", "idx", "smooth")
 
 
 @query("block_offsets", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
@@ -226,9 +239,9 @@ def _(spark, d):
     return both.where("p < end_position and position < e").select("sentence_id", "conn", "final")
 
 
-@query("filter_matches", MATCH + f" SELECT {_COLS} FROM m WHERE regexp_matches(span_text, '^[td]') AND type IN ('{CONNECTIVE}') AND genre1 IN ('src0', 'src1')")
+@query("filter_matches", MATCH + f" SELECT {_COLS} FROM m WHERE regexp_matches(span_text, '^[TtDd]') AND type IN ('{CONNECTIVE}') AND genre1 IN ('src0', 'src1')")
 def _(spark, d):
-    return search.filter_by(found(spark, d), "^[td]", [CONNECTIVE], ["src0", "src1"]).select(*_COLS.split(", "))
+    return search.filter_by(found(spark, d), "^[TtDd]", [CONNECTIVE], ["src0", "src1"]).select(*_COLS.split(", "))
 
 
 @query("exclude_sections", "SELECT doc_id AS basename, lang AS section FROM documents WHERE lang NOT IN ('en', 'fr')")
@@ -278,10 +291,14 @@ def _(spark, d):
     return stats.find_problematic(_files(spark, d)).select("basename", "n_sections", r6(F.col("unknown_ratio")).alias("unknown_ratio"), "snippet")
 
 
-@query("function_levels", f"SELECT * FROM (VALUES ('1論理・順接・だから', '{CONNECTIVE}', '1論理', '1論理・順接', '1論理・順接・だから'), ('２整理・列挙', '{CONNECTIVE}', '2整理', '2整理・列挙', NULL), ('推量・意志、いう', '{FINAL}', '推量', '推量意志いう', NULL), ('NA', '{FINAL}', 'NA', 'NA', NULL)) t(func, type, func_1, func_2, func_3)")
+_LEVELS_SQL = f""", f AS (SELECT type, func, count(*) AS n FROM m GROUP BY ALL), w AS (SELECT *, regexp_extract(func, '^[0-9]+', 0) AS code, list_filter(regexp_split_to_array(regexp_replace(func, '^[0-9]+', ''), '[・、]'), lambda x: x <> '') AS t FROM f)
+ SELECT type, func, n, CASE WHEN type = '{CONNECTIVE}' THEN code || t[1] ELSE t[1] END AS func_1, CASE WHEN type <> '{CONNECTIVE}' THEN array_to_string(t, '') WHEN len(t) > 1 THEN code || t[1] || '・' || t[2] END AS func_2,
+ CASE WHEN type = '{CONNECTIVE}' AND len(t) > 2 THEN code || t[1] || '・' || t[2] || '・' || t[3] END AS func_3 FROM w"""
+
+
+@query("function_levels", MATCH + _LEVELS_SQL)
 def _(spark, d):
-    rows = spark.createDataFrame([("1論理・順接・だから", CONNECTIVE), ("２整理・列挙", CONNECTIVE), ("推量・意志、いう", FINAL), ("NA", FINAL)], "func string, type string")
-    return extract.expand_functions(rows)
+    return extract.expand_functions(found(spark, d)).groupBy("type", "func", "func_1", "func_2", "func_3").agg(F.count("*").alias("n"))
 
 
 @query("min_position", MATCH + " SELECT * FROM p")
@@ -320,12 +337,12 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("pmi_entropy", _pmi_sql(""))
 def _(spark, d):
-    return _rounded(stats.pmi_entropy(found(spark, d)), "pmi", "transition", "conn_entropy", "final_entropy")
+    return _rounded(stats.pmi_entropy(found_once(spark, d)), "pmi", "transition", "conn_entropy", "final_entropy")
 
 
 @query("pmi_entropy_by_section", _pmi_sql("section"))
 def _(spark, d):
-    return _rounded(stats.pmi_entropy(found(spark, d), ["section"]), "pmi", "transition", "conn_entropy", "final_entropy")
+    return _rounded(stats.pmi_entropy(found_once(spark, d), ["section"]), "pmi", "transition", "conn_entropy", "final_entropy")
 
 
 @query("contingency_long", MATCH + " SELECT section AS cat, expr, count(*) AS n FROM m GROUP BY ALL")
@@ -394,7 +411,7 @@ def _(spark, d):
 
 @query("keyness_top5_wide")
 def _(spark, d):
-    return stats.top_characteristic(found(spark, d), ["de", "en", "es", "fr"])
+    return stats.top_characteristic(found_once(spark, d), ["de", "en", "es", "fr"])
 
 
 @query("dominant_category", MATCH + " SELECT expr, section AS category, n FROM (SELECT expr, section, count(*) AS n FROM m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY expr ORDER BY n DESC, section DESC) = 1")
@@ -422,7 +439,7 @@ def _listed_sql(form: str) -> str:
 
 @query("collocation_report", MATCH + f" SELECT final, conn, a.freq, a.forms AS final_forms, b.forms AS conn_forms FROM {_listed_sql(_FORM)} a JOIN {_listed_sql(_FORM_C)} b USING (final, conn)")
 def _(spark, d):
-    return search.collocation_report(found(spark, d))
+    return search.collocation_report(found_once(spark, d))
 
 
 @query("pair_samples", MATCH + " SELECT final, conn, sentence_id, sentence_text FROM (SELECT DISTINCT final, conn, sentence_id FROM pr) JOIN s USING (sentence_id) QUALIFY row_number() OVER (PARTITION BY final, conn ORDER BY md5(sentence_id || '|42'), sentence_id) <= 5")
@@ -501,7 +518,7 @@ def _(spark, d):
 
 @query("quality_report", MATCH + f" SELECT (SELECT count(*) FROM m WHERE genre1 IS NULL) AS null_genre, (SELECT count(*) FROM (SELECT sentence_id FROM m WHERE type = '{CONNECTIVE}' GROUP BY ALL HAVING count(DISTINCT expr) > 1)) AS multi_connective, (SELECT count(*) FROM (SELECT 1 FROM m GROUP BY sentence_id, type, expr, position, end_position HAVING count(*) > 1)) AS anchor_dups")
 def _(spark, d):
-    return search.quality_report(found(spark, d))
+    return search.quality_report(found_once(spark, d))
 
 
 @query("marker_catalogue", MATCH + " SELECT DISTINCT type, expr, func FROM m")
@@ -520,23 +537,27 @@ def _(spark, d):
     return docs.join(labels.withColumn("labelled", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "quality", "toxic", F.coalesce("labelled", F.lit(False)).alias("labelled"))
 
 
-@query("token_pattern_match", "SELECT * FROM (VALUES (1, CAST(1 AS BIGINT)), (2, CAST(0 AS BIGINT)), (3, CAST(1 AS BIGINT))) t(sid, hits)".replace("(1, ", "(CAST(1 AS BIGINT), ").replace("(2, ", "(CAST(2 AS BIGINT), ").replace("(3, ", "(CAST(3 AS BIGINT), "))
+@query("token_pattern_match", "SELECT lang, CAST(sum(len(regexp_extract_all('<' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n.,!?<>|;]+'), lambda w: w <> ''), '><') || '>', '<(?:the|of|de|la)><[^<>]*(?:tion|ment)>(?:<and>)?'))) AS BIGINT) AS hits FROM documents WHERE text IS NOT NULL GROUP BY ALL")
 def _(spark, d):
-    rule = lexicon.compile_tokens([{"LEMMA": "だ"}, lexicon.Either(({"ORTH": {"IN": ["と", "ろう"]}}, [{"ORTH": "か"}, {"POS": "AUX", "OP": "?"}]))])
-    tok = lambda *w: [(a, a, b, "AUX", "", "") for a, b in w]
-    rows = spark.createDataFrame([(1, tok(("正しい", "正しい"), ("だ", "だ"), ("ろう", "ろう"))), (2, tok(("だ", "だ"), ("が", "が"))), (3, tok(("だ", "だ"), ("か", "か"), ("ない", "ない")))], "sid long, t array<struct<orth:string,norm:string,lemma:string,pos:string,tag:string,morph:string>>")
-    return rows.select("sid", F.size(extract.match_tokens(F.col("t"), rule)).alias("hits"))
+    rule = lexicon.compile_tokens([{"LEMMA": {"IN": ["the", "of", "de", "la"]}}, lexicon.Either(({"ORTH": {"REGEX": "tion$"}}, {"ORTH": {"REGEX": "ment$"}})), {"ORTH": "and", "OP": "?"}])
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n.,!?<>|;]+"), lambda w: w != "")
+    tokens = F.transform(words, lambda w: F.struct(w.alias("orth"), w.alias("norm"), w.alias("lemma"), F.lit("").alias("pos"), F.lit("").alias("tag"), F.lit("").alias("morph")))
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.groupBy("lang").agg(F.sum(F.size(extract.match_tokens(tokens, rule))).alias("hits"))
 
 
-@query("genre_meta", "SELECT * FROM (VALUES ('C', 'A', 'k1', 'C / A / k1'), ('C', NULL, NULL, 'C'), (NULL, 'A', 'x', 'A / x')) t(genre1, genre2, genre3, genre_path)")
+@query("genre_meta", "SELECT source AS genre1, CASE WHEN doc_id % 3 > 0 THEN lang END AS genre2, 'n' || (doc_id % 5) AS genre3, source || CASE WHEN doc_id % 3 > 0 THEN ' / ' || lang ELSE '' END || ' / n' || (doc_id % 5) AS genre_path, count(*) AS n FROM documents GROUP BY ALL")
 def _(spark, d):
-    rows = spark.createDataFrame([({"corpus": "C", "subject_area": "A", "keywords": "k1、k2"},), ({"corpus": "C"},), ({"subject_area": "A", "keywords": "x y"},)], "meta map<string,string>")
-    return corpus.genre_meta(rows).select("genre1", "genre2", "genre3", "genre_path")
+    area = F.when(F.col("doc_id") % 3 > 0, F.map_from_arrays(F.array(F.lit("subject_area")), F.array("lang"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    words = F.concat(F.lit("n"), (F.col("doc_id") % 5).cast("string"), F.lit("、more"))
+    meta = F.map_concat(F.map_from_arrays(F.array(F.lit("corpus"), F.lit("keywords")), F.array(F.col("source"), words)), area)
+    rows = corpus.genre_meta(table(spark, d, "documents").select(meta.alias("meta")))
+    return rows.groupBy("genre1", "genre2", "genre3", "genre_path").agg(F.count("*").alias("n"))
 
 
-@query("exclusive_bodies", "SELECT page_id, regexp_replace(substr(html, 1, 40) || substr(html, 61, 40), '^$', '') AS body FROM pages WHERE length(html) >= 100")
+@query("exclusive_bodies", "SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<nav\\b.*?</nav\\s*>', '', 'g') AS body FROM pages")
 def _(spark, d):
-    # Whole pages without their script, style and nav elements; the SQL above still cuts pages to 100 characters, so it differs.
+    # Whole pages without their script, style and nav elements.
     inner = structure.places(F.col("html"), r"(?is)<(script|style|nav)\b.*?</\1\s*>")
     return table(spark, d, "pages").select("page_id", F.array_join(structure.without_intervals(F.col("html"), inner), "").alias("body"))
 
@@ -552,3 +573,75 @@ def _(spark, d):
     n = table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
     w = Window.partitionBy("event_type").orderBy(F.desc("n"), "user_id")
     return n.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
+
+
+@query("title_counts", MATCH + f" SELECT count(DISTINCT sentence_id) AS sentences, count(DISTINCT section) AS sections, count(DISTINCT expr) FILTER (type = '{CONNECTIVE}') AS connectives, count(DISTINCT expr) FILTER (type = '{FINAL}') AS finals, (SELECT count(*) FROM (SELECT DISTINCT conn, final FROM pr)) AS collocations FROM m")
+def _(spark, d):
+    return reports.title_counts(found_once(spark, d))
+
+
+@query("collocation_column", MATCH + f" SELECT sentence_id, c.section, c.expr || '→' || f.expr AS expr FROM m c JOIN m f USING (sentence_id) WHERE c.type = '{CONNECTIVE}' AND f.type = '{FINAL}'")
+def _(spark, d):
+    return reports.collocation_column(found_once(spark, d))
+
+
+_KEY_ALL = """, k AS (SELECT section AS cat, expr, count(*) AS a FROM m WHERE section IS NOT NULL GROUP BY ALL), e AS (SELECT expr, count(*) AS both_n FROM m GROUP BY ALL), c AS (SELECT cat, sum(a) AS n1 FROM k GROUP BY ALL), tot AS (SELECT count(*) AS n FROM m),
+ k2 AS (SELECT cat, expr, a, both_n - a AS b, both_n, n1, n - n1 AS n2, n FROM k JOIN e USING (expr) JOIN c USING (cat) CROSS JOIN tot WHERE both_n >= 5),
+ k3 AS (SELECT cat, expr, a, b, 2 * (CASE WHEN a > 0 THEN a * ln(a / (both_n * n1 / n + 1e-12)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b / (both_n * n2 / n + 1e-12)) ELSE 0 END) AS llr, a / greatest(n1, 1) - b / greatest(n2, 1) AS target_rel FROM k2)"""
+
+
+@query("keyness_by_category", MATCH + _KEY_ALL + " SELECT cat, expr, a, b, round(llr, 6) + 0.0 AS llr, round(target_rel, 6) + 0.0 AS target_rel FROM k3")
+def _(spark, d):
+    return _rounded(stats.keyness_by_category(found_once(spark, d)), "llr", "target_rel")
+
+
+@query("keyness_over", MATCH + _KEY_ALL + " SELECT expr, round(llr, 6) + 0.0 AS llr FROM k3 WHERE cat = 'en' AND target_rel > 0 ORDER BY k3.llr DESC, target_rel DESC, expr LIMIT 5")
+def _(spark, d):
+    return _rounded(stats.over_under(stats.keyness_by_category(found_once(spark, d)).where("cat = 'en'"), 5), "llr").select("expr", "llr")
+
+
+@query("keyness_under", MATCH + _KEY_ALL + " SELECT expr, round(llr, 6) + 0.0 AS llr FROM k3 WHERE cat = 'en' AND target_rel < 0 ORDER BY k3.llr DESC, target_rel, expr LIMIT 5")
+def _(spark, d):
+    return _rounded(stats.over_under(stats.keyness_by_category(found_once(spark, d)).where("cat = 'en'"), 5, over=False), "llr").select("expr", "llr")
+
+
+@query("global_index", "SELECT event_id, CAST(row_number() OVER (ORDER BY event_type, ts, event_id) - 1 AS BIGINT) AS global_index FROM events")
+def _(spark, d):
+    return reports.indexed(table(spark, d, "events"), "event_type", ["ts", "event_id"]).select("event_id", "global_index")
+
+
+@query("sentence_of_span", "SELECT doc_id, CAST(CASE WHEN p >= 0 THEN length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) ELSE -1 END AS BIGINT) AS sentence, CASE WHEN p >= 0 THEN string_split(text, chr(10))[length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) + 1] END AS body FROM (SELECT doc_id, text, CAST(instr(text, 'heit') - 1 AS INT) AS p FROM documents)")
+def _(spark, d):
+    hit = structure.sentence_of(F.col("text"), F.instr("text", "heit") - 1)
+    return table(spark, d, "documents").select("doc_id", hit.alias("s")).select("doc_id", "s.sentence", "s.body")
+
+
+@query("aggregated_genre", "SELECT text AS expr, section, genre1, genre1 AS selected_genre FROM (SELECT lang AS section, source AS genre1, text FROM documents) WHERE section IN ('en', 'de') AND text IS NOT NULL AND genre1 IS NOT NULL")
+def _(spark, d):
+    rows = reports.complete(reports.include_sections(secs(spark, d), ["en", "de"]), ["text", "genre1"])
+    return reports.selected_genre(reports.aggregated(rows, "text").drop("basename"), "genre9")
+
+
+@query("hits_and_misses", MATCH + f", h AS (SELECT sentence_id, expr FROM m WHERE type = '{CONNECTIVE}') SELECT sentence_id, expr FROM h UNION ALL SELECT sentence_id, NULL FROM s WHERE sentence_id NOT IN (SELECT sentence_id FROM h)")
+def _(spark, d):
+    hits = found_once(spark, d).where(F.col("type") == CONNECTIVE).select("sentence_id", "expr")
+    return reports.hits_and_misses(sents(spark, d), hits)
+
+
+@query("long_form", "SELECT cat, expr, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT o_orderstatus AS cat FROM orders) CROSS JOIN (SELECT DISTINCT o_orderpriority AS expr FROM orders) LEFT JOIN (" + _ORD + ") USING (cat, expr)")
+def _(spark, d):
+    return reports.long_form(stats.contingency(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", wide=True), "cat")
+
+
+@query("json_rows", "SELECT to_json({'r_regionkey': r_regionkey, 'r_name': r_name}) AS payload FROM region")
+def _(spark, d):
+    return reports.to_json(table(spark, d, "region").select("r_regionkey", "r_name"))
+
+
+@query("drawn_edges", _EV + " SELECT src, dst, weight, round(log10(weight), 6) AS log_weight FROM ed WHERE weight >= 20")
+def _(spark, d):
+    return _rounded(network.drawn_parts(_net(spark, d)[0], 20)[0], "log_weight")
+
+
+_SQL["keyness_top5_wide"] = MATCH + _KEY_ALL + """, t AS (SELECT cat, row_number() OVER (PARTITION BY cat ORDER BY llr DESC, expr) AS rank, printf('%s (%.1f)', expr, llr) AS cell FROM k3 WHERE target_rel > 0)
+ SELECT rank, """ + ", ".join(f"coalesce(max(cell) FILTER (cat = '{c}'), '') AS {c}" for c in ("de", "en", "es", "fr")) + " FROM t WHERE rank <= 5 GROUP BY rank"
