@@ -36,12 +36,12 @@ from tsuzuri.llm.common import map_arrow, slices, trim
 
 MARK = "▁"
 #: Most that a worker keeps of each: chunks after a white-space mark and other chunks (their ids as 16-bit
-#: numbers, about 150 bytes a chunk), and pairs of tokens already compared (about 110 bytes each).  Each is
+#: numbers, about 150 bytes a chunk, 60 MB in all), and pairs of tokens already compared (about 90 bytes each).  Each is
 #: emptied when it is full, and chunks at the end of each task, as workers live on for later stages.
-CACHE_CHUNKS, CACHE_BARE, CACHE_PAIRS = 240_000, 40_000, 160_000
+CACHE_CHUNKS, CACHE_BARE, CACHE_PAIRS = 400_000, 40_000, 160_000
 #: Longest chunk that is kept, in characters; longest run of spaces whose ids are.
 KEPT_CHARS, KEPT_RUN, KEPT_RUNS = 64, 64, 64
-UNREACHED = -1
+UNREACHED = -1 << 60
 
 
 def _each_byte(e: UnicodeDecodeError) -> tuple[str, int]:
@@ -82,7 +82,8 @@ class PrefixBpe:
         self.kind = "H" if n <= 1 << 16 else "I"
         self.lone_mark = array(self.kind, [self.mark]).tobytes()
         self.start = n << 20
-        self.pairs: dict[int, bool] = {}
+        self.apart: set[int] = set()  # pairs of tokens that stay apart, and pairs that do not
+        self.merged: set[int] = set()
         self.order, self.left_of, self.right_of = [0.0] * n, list(range(n)), list(range(n))
         self.automaton = ahocorasick.Automaton()
         for p, (score, i) in list(self.rank.items()):
@@ -158,9 +159,10 @@ class PrefixBpe:
                 limit, b = order[b] + 1, self.left_of[b]
             else:
                 break
-        if len(self.pairs) >= CACHE_PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = ok
+        if len(self.apart) + len(self.merged) >= CACHE_PAIRS:
+            self.apart.clear()
+            self.merged.clear()
+        (self.apart if ok else self.merged).add(key)
         return ok
 
     def _known(self, s: str) -> list[int]:
@@ -168,17 +170,12 @@ class PrefixBpe:
         n = len(s)
         last = [UNREACHED] * (n + 1)  # last token of the prefix that ends at each place, shifted; the empty prefix is at -1
         last[n] = self.start
-        seen, fits = self.pairs.get, self._fits
+        apart, merged, fits = self.apart, self.merged, self._fits
         for end, (i, k, shifted) in self.automaton.iter(s):
             if last[end] < 0:
-                key = last[end - k]
-                if key >= 0:
-                    key += i
-                    ok = seen(key)
-                    if ok is None:
-                        ok = fits(key)
-                    if ok:
-                        last[end] = shifted
+                key = last[end - k] + i
+                if key in apart or key >= 0 and key not in merged and fits(key):
+                    last[end] = shifted
         out, at, width, ids = [], n - 1, self.width, self.ids
         while at >= 0:
             i = ids[last[at] >> 20]
@@ -249,6 +246,7 @@ class PrefixBpe:
             text = text.replace(MARK, " ")
         newline, first, kept, add = self.byte_id[10], True, self.with_mark, out.frombytes
         split_at = "\n" if "\n" not in self.chars else None
+        runs = "  " in text or " \n" in text or text[-1] == " " or text[0] == " "
         for line in text.split(split_at) if split_at else [text]:
             words = line.split(" ")
             if first:
@@ -256,14 +254,17 @@ class PrefixBpe:
                 first = False
             else:
                 out.append(newline)
-            if "" in words[1:]:
+            if runs and "" in words[1:]:
                 self._line(words, out)
                 continue
             if words[0]:
                 add(self._get(self.bare, words[0], words[0]))
-            for w in words[1:]:
-                ids = kept.get(w)
-                add(ids if ids is not None else self._get(kept, w, MARK + w))
+            words[0] = ""
+            ids = list(map(kept.get, words))
+            ids[0] = b""
+            if None in ids:
+                ids = [self._get(kept, w, MARK + w) if x is None else x for w, x in zip(words, ids)]
+            add(b"".join(ids))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
