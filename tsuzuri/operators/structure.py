@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +47,11 @@ NUMBER = r"^\s*(?:第?[0-9０-９]+(?:[.．][0-9０-９]+)*[章節.．、)）]?|
 KANA_OR_WORD = "一-鿿ァ-ヶーA-Za-z0-9"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def number_prefix(heading: Column) -> Column:
     found = strip(F.regexp_extract(F.regexp_replace(heading, r"([0-9]+)\.\s+([0-9]+)", "$1.$2"), NUMBER, 0))
     return F.when(found != "", found)
@@ -55,20 +62,26 @@ def heading_labels(heading: Column) -> Column:
 
     A match inside the first ``HEAD`` characters counts unless kanji, katakana or a letter stands before it.
     """
-    body = F.substring(strip(F.regexp_replace(F.regexp_replace(heading, r"([0-9]+)\.\s+([0-9]+)", "$1.$2"), NUMBER, "")), 1, HEAD)
-    hits = []
-    for label, pattern in RULES:
-        first = F.regexp_extract(body, f"(?i)^(?:{pattern})", 0)
-        inside = F.regexp_extract(body, f"(?i)(?<![{KANA_OR_WORD}])(?:{pattern})", 0)
-        joined = F.regexp_extract(body, f"(?i)(?:と|の|及び|および|・)((?:{pattern}))", 1)
-        size = F.greatest(F.length(inside), F.length(joined))
-        hit = lambda n, at: F.struct(n.alias("n"), F.lit(at).alias("anchored"), F.lit(label).alias("label"))  # noqa: B023, E731
-        hits.append(F.when(first != "", hit(F.length(first), 1)).when(size > 0, hit(size, 0)))
-    found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    best = F.array_max(F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["anchored"].alias("anchored"))))
-    kept = F.filter(found, lambda x: (x["n"] == best["n"]) & (x["anchored"] == best["anchored"]))
-    references = F.exists(found, lambda x: x["label"] == "references")
-    return F.when(references, F.array(F.lit("references"))).otherwise(F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["label"]))))
+    whole = F.substring(strip(F.regexp_replace(F.regexp_replace(heading, r"([0-9]+)\.\s+([0-9]+)", "$1.$2"), NUMBER, "")), 1, HEAD)
+    hit = lambda n, at, label: F.struct(n.alias("n"), F.lit(at).alias("anchored"), F.lit(label).alias("label"))
+
+    def hits(body: Column) -> Column:
+        rows = []
+        for label, pattern in RULES:
+            first = F.length(F.regexp_extract(body, f"(?i)^(?:{pattern})", 0))
+            inside = F.length(F.regexp_extract(body, f"(?i)(?<![{KANA_OR_WORD}])(?:{pattern})", 0))
+            joined = F.length(F.regexp_extract(body, f"(?i)(?:と|の|及び|および|・)((?:{pattern}))", 1))
+            size = F.greatest(inside, joined)
+            rows.append(F.when(first > 0, hit(first, 1, label)).when(size > 0, hit(size, 0, label)))
+        return F.filter(F.array(*rows), lambda x: x.isNotNull())
+
+    def longest(found: Column) -> Column:
+        best = F.array_max(F.transform(found, lambda x: F.struct(x["n"].alias("n"), x["anchored"].alias("anchored"))))
+        kept = bound(best, lambda b: F.filter(found, lambda x: (x["n"] == b["n"]) & (x["anchored"] == b["anchored"])))
+        references = F.exists(found, lambda x: x["label"] == "references")
+        return F.when(references, F.array(F.lit("references"))).otherwise(F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["label"]))))
+
+    return bound(bound(whole, hits), longest)
 
 
 def with_parents(labels: Column) -> Column:
