@@ -12,19 +12,21 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsuzuri.operators import extract, lexicon, search, segment, stats
+from tsuzuri.operators import extract, lexicon, search, sections, segment, stats
 from tsuzuri.sources import corpus
 
 
 def sections_of(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
-    """basename, section, genre1, text of any supported source."""
+    """basename, section, genre1, text of any supported source; Markdown is split into labelled sections, other text has no section."""
     if path.endswith((".jsonl", ".json")):
         rows = corpus.jsonl(spark, path)
         return rows.groupBy("title", "genre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), "\n").alias("text")).select(F.col("title").alias("basename"), F.lit(None).cast("string").alias("section"), F.get("genre", F.lit(0)).alias("genre1"), "text")
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     docs = corpus.genre_meta(corpus.front_matter(corpus.documents(spark, path, ext)))
-    return docs.select("basename", F.lit(None).cast("string").alias("section"), "genre1", "text")
+    marked = sections.section_texts(docs.where("ext = 'md'")).select("basename", "section", "text").join(docs.select("basename", "genre1"), "basename")
+    plain = docs.where("ext <> 'md'").select("basename", "genre1", F.lit(None).cast("string").alias("section"), "text")
+    return marked.unionByName(plain)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -37,10 +39,10 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tsuzuri").getOrCreate()
     if a.task == "extract":
-        sections = sections_of(spark, a.source, a.ext)
+        texts = sections_of(spark, a.source, a.ext)
         if a.sample:
-            sections = corpus.sampled(sections, a.sample)
-        found = extract.extract_matches(segment.sentences(sections), lexicon.connectives())
+            texts = corpus.sampled(texts, a.sample)
+        found = extract.extract_matches(segment.sentences(texts), lexicon.connectives())
         found.drop("para", "line", "paragraph_text").write.mode("overwrite").parquet(a.out)
         return
     matches = spark.read.parquet(a.source)

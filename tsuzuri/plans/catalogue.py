@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsuzuri.functions import text as tx
-from tsuzuri.operators import extract, lexicon, network, reports, search, segment, stats, structure
+from tsuzuri.operators import extract, lexicon, network, reports, search, sections, segment, stats, structure
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE
 from tsuzuri.sources import corpus, store
 from tsuzuri.streaming import ingest
@@ -555,6 +555,19 @@ def _(spark, d):
     return rows.groupBy("genre1", "genre2", "genre3", "genre_path").agg(F.count("*").alias("n"))
 
 
+# Each conversation as a Markdown document with a heading for each turn.
+_TURNS = {"user": "はじめに", "assistant": "考察", "system": "注"}
+_TURNS_SQL = "WITH t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'はじめに' WHEN 'assistant' THEN '考察' ELSE '注' END AS heading, CASE role WHEN 'user' THEN 'introduction' WHEN 'assistant' THEN 'discussion' ELSE 'notes' END AS category, text AS body FROM conversations), o AS (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) * 2 AS BIGINT) AS idx, CAST(coalesce(sum(length(heading) + length(body) + 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(length(heading) + length(body) + 4) OVER (PARTITION BY conv_id) - 2 AS BIGINT) AS whole FROM t)"
+
+
+@query("markdown_sections", _TURNS_SQL + " SELECT conv_id, idx, heading, category, start, coalesce(lead(start) OVER (PARTITION BY conv_id ORDER BY idx), whole) AS stop, body, category <> 'notes' AS shown FROM o")
+def _(spark, d):
+    names = F.create_map(*[F.lit(x) for kv in _TURNS.items() for x in kv])
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), names[F.col("role")], F.lit("\n\n"), F.col("text")).alias("body")))).alias("t"))
+    docs = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["body"]), "\n\n").alias("text"))
+    return sections.nodes(docs, "conv_id").select("conv_id", F.col("idx").cast("long").alias("idx"), "heading", "category", "start", "stop", "body", "shown")
+
+
 @query("exclusive_bodies", "SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<nav\\b.*?</nav\\s*>', '', 'g') AS body FROM pages")
 def _(spark, d):
     # Whole pages without their script, style and nav elements.
