@@ -68,12 +68,13 @@ _SURFACE = """あと|(あと|後)|2整理・並列・それに
 
 
 def connectives() -> list[Entry]:
-    """The shipped connectives: at a sentence's start, after blanks, digits and an opening bracket, before a comma."""
+    """The shipped connectives: at a sentence's start, after blanks, digits and an opening bracket, before a comma; spans hold the words alone."""
     out = []
     for line in _SURFACE.splitlines():
         name, _, rest = line.partition("|")
         pattern, _, function = rest.rpartition("|")
-        out.append(Entry(CONNECTIVE, name, function, "新", f"(?U)^[\\s　\\d０-９]*「?(?:{pattern})[、,，]"))
+        words = pattern.replace("(", "(?:")
+        out.append(Entry(CONNECTIVE, name, function, "新", f"(?U)^[\\s　\\d０-９]*「?({words})[、,，]"))
     return out
 
 
