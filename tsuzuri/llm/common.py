@@ -20,8 +20,22 @@ SLICE = 128
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
 
+#: Rows that a task's Parquet reader decodes at a time; it holds all their texts at once, in arrays of up to twice the size.
+READ_ROWS = 256
+
+#: Bytes of a row group of the tables between steps: what a task's Parquet writer gathers, and what its reader fetches at once.
+GROUP_BYTES = 16 << 20
+
+
+def read_few(spark: SparkSession) -> None:
+    """Lower the session's Parquet batches to ``READ_ROWS`` where they are larger, as whole texts of the usual 4096 rows fill a small heap."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > READ_ROWS:
+        spark.conf.set(name, READ_ROWS)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    read_few(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,8 +59,9 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
+    read_few(spark)
     path = shared_dir(spark)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,6 +70,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
     The session's own setting is lowered where it is larger, as Spark reads it when the query starts.
     """
+    read_few(df.sparkSession)
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(conf.get(name).rstrip("b"))
     if not 0 < now <= BATCH_BYTES:

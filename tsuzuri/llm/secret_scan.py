@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tsuzuri.llm.common import spare
+from tsuzuri.llm.common import read_few, spare
 
 WINDOW = 20
 #: Matches that a fold copies at a time.
@@ -154,6 +154,7 @@ def _of_kind(places: Column, k: int) -> Column:
 
 def scan(docs: DataFrame, text: str = "text", into: str = "secrets") -> DataFrame:
     """``docs`` with a column ``into``: array of struct(s, k, e), sorted by start, then kind (index in ``KINDS``)."""
+    read_few(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     kinds = [_places(t, ASSIGN, 2, ASSIGN_MIN), _places(t, ACCESS), _places(t, HEX)]
     base = F.concat(*[_of_kind(p, k) for k, p in enumerate(kinds)])
