@@ -1,4 +1,5 @@
 import os
+import random
 import subprocess
 import sys
 
@@ -6,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import corpus_pipeline
-from tsuzuri.llm import common
+from tsuzuri.llm import common, components
 
 NAME = "spark.sql.parquet.columnarReaderBatchSize"
 
@@ -41,3 +42,18 @@ def test_every_stage_reads_few_rows_at_a_time(spark, tmp_path):
     spark.conf.set(NAME, 100)
     common.read_few(spark)
     assert int(spark.conf.get(NAME)) == 100
+
+
+def test_components_of_few_edges_take_one_task(spark, monkeypatch):
+    rng = random.Random(9)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)] + [(-5, 7), (7, 7)]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(5)
+    written = []
+    monkeypatch.setattr(components, "settle", lambda df: written.append(1) or common.settle(df))
+    few = sorted(map(tuple, components.components(frame).collect()))
+    assert len(written) == 2
+    monkeypatch.setattr(components, "ALONE", 0)
+    assert few == sorted(map(tuple, components.components(frame).collect())) and len(written) > 4
+    assert components.components(frame.limit(0)).collect() == []
+    monkeypatch.setattr(components, "ALONE", 1)
+    assert components.components(frame.limit(0)).collect() == []

@@ -154,8 +154,8 @@ def _common(docs: DataFrame, text: str, key: str) -> tuple[np.ndarray, np.ndarra
 
     some = docs.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(SAMPLE)) == 0).select(text)
     seen = map_arrow(some, count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
-    top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toPandas()
-    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = seen.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    return top["token"].to_numpy(), top["n"].to_numpy()
 
 
 def _entries(docs: DataFrame, text: str, key: str, order: Order) -> DataFrame:
@@ -355,14 +355,16 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answer(*rest[1:])
 
 
-def _second_look(marked: DataFrame, width: int) -> DataFrame:
-    """Candidates (a, b) of different components in long lists, from ``marked`` (token, rep, size, pos, comp).
+def _second_look(marked: DataFrame, width: int) -> DataFrame | None:
+    """Candidates (a, b) of different components in long lists, from ``marked`` (token, rep, size, pos, comp); None if each list has one component.
 
     A list is dealt into blocks of about ``BLOCK`` sets of like size and position; a component that fills
     blocks of its own has these to itself.  Pairs of blocks meet in tasks of their own, unless their
     sizes and positions rule links out or one component has both.
     """
-    mixed = marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    mixed = settle(marked.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"))
+    if mixed.isEmpty():
+        return None
     own = marked.join(mixed, "token").withColumn("k", F.floor(F.log("size") / F.log(F.lit(1.26)))).withColumn("w", F.floor(20 * F.col("pos") / F.col("size")))
     where = ["token", "k", "w"]
     counts = own.groupBy(*where, "comp").agg(F.count("*").alias("n")).withColumn("large", F.when(F.col("n") > BLOCK, F.col("comp")))
@@ -388,9 +390,9 @@ def _bloom(ids: DataFrame) -> np.ndarray:
         h = F.xxhash64("id", F.lit(salt))
         part = ids.select(F.pmod(F.shiftright(h, 6), F.lit(n)).alias("w"), F.expr(f"shiftleft(1L, cast(xxhash64(id, {salt}) & 63 as int))").alias("bit"))
         bits = part if bits is None else bits.union(part)
-    got = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    got = bits.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(n, np.int64)
-    words[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    words[got["w"].to_numpy()] = got["bits"].to_numpy()
     return words
 
 
@@ -603,8 +605,9 @@ def _grouped(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame
     links = settle(_links(pairs, sketches, docs, text, key))
     joined = components(links)
     marked = longs.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "size", "pos", F.coalesce("component", "rep").alias("comp"))
-    across = settle(_second_look(settle(marked), width).join(pairs, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
+    across = _second_look(settle(marked), width)
+    across = None if across is None else settle(across.join(pairs, ["a", "b"], "left_anti"))
+    if across is not None and not across.isEmpty():
         links = links.union(settle(_links(across, sketches, docs, text, key)))
         joined = components(links)
     copies = settle(classes.where("copies > 1").select("e", "n", "rep", "copies"))
