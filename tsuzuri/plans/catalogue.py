@@ -62,8 +62,8 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def found_once(spark: SparkSession, d: str) -> DataFrame:
-    """Matches for steps that read them several times."""
-    return store.once(found(spark, d))
+    """Matches for steps that read them several times; without texts of sentences and paragraphs, which each match would repeat."""
+    return store.once(found(spark, d).select("section", "genre1", "sentence_id", "type", "expr", "position", "end_position", "span_text"))
 
 
 def r6(c):
