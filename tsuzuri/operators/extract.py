@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,28 +11,72 @@ from pyspark.sql import functions as F
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE, Entry
 
 SPAN = "array<struct<start:int,stop:int,i:int>>"
+WORDS = r"\(([A-Za-z]+(?:\|[A-Za-z]+)*)\)"
+# Patterns that read only the first or the last characters of a text besides white space: words, and one more character.
+AT_START = re.compile(r"(?:\(\?i\))?\^\\s\*" + WORDS + r"\(\?:\[\^\\p\{L\}\]\|\$\)")
+AT_END = re.compile(r"(?:\(\?i\))?" + WORDS + r"\[\.!\?\]\?\\s\*\$")
+# White space of ``\\s``, and the ends of lines that ``$`` passes over besides.
+BLANKS, LINE_ENDS = " \t\n\x0b\f\r", ("\x85", "\u2028", "\u2029")
 
 
 def _empty() -> Column:
     return F.expr(f"cast(array() as {SPAN})")
 
 
-def _span(text: Column, entry: Entry, i: int) -> Column:
-    """struct(start, stop, i) of an entry's first match, of its first group if it has one; null without a match."""
+def _span(text: Column, entry: Entry, i: int, before: Column | None = None) -> Column:
+    """struct(start, stop, i) of an entry's first match, of its first group if it has one; null without a match.
+
+    ``before``: characters that stand before ``text``.
+    """
     has_group = "(" in entry.pattern.replace("(?", "").replace("\\(", "")
     hit = F.regexp_extract(text, entry.pattern, 0)
     part = F.regexp_extract(text, entry.pattern, 1) if has_group else hit
     start = F.length(F.get(F.split(text, entry.pattern, 2), F.lit(0))) + F.position(part, hit) - 1
+    start = start if before is None else start + before
     return F.when(text.rlike(entry.pattern), F.struct(start.cast("int").alias("start"), (start + F.length(part)).cast("int").alias("stop"), F.lit(i).alias("i")))
 
 
-def candidates(text: Column, entries: Sequence[tuple[int, Entry]]) -> Column:
+def candidates(text: Column, entries: Sequence[tuple[int, Entry]], before: Column | None = None) -> Column:
     if not entries:
         return _empty()
-    spans = F.filter(F.array(*[_span(text, e, i) for i, e in entries]), lambda s: s.isNotNull())
+    spans = F.filter(F.array(*[_span(text, e, i, before) for i, e in entries]), lambda s: s.isNotNull())
     return spans
 
 
+def _reach(form: re.Pattern, entries: Sequence[Entry]) -> int:
+    """Most characters that patterns of a form read, white space aside; other patterns don't count."""
+    found = [form.fullmatch(e.pattern) for e in entries]
+    return 1 + max((len(w) for m in found if m for w in m[1].split("|")), default=0)
+
+
+def _ends(text: Column, entries: Sequence[Entry]) -> Column:
+    """struct(head, lead, tail, front): what patterns of the two forms read of a text, and the characters before it.
+
+    A match of these patterns begins after the leading or ends before the trailing white space, so the few
+    characters there give the matches of the whole text; a text whose ``$`` may pass over a line's end is kept whole.
+    """
+    left, right = F.ltrim(text, F.lit(BLANKS)), F.rtrim(text, F.lit(BLANKS))
+    whole, most = F.right(right, F.lit(1)).isin(*LINE_ENDS), _reach(AT_END, entries)
+    return F.struct(
+        F.left(left, F.lit(_reach(AT_START, entries))).alias("head"),
+        (F.length(text) - F.length(left)).alias("lead"),
+        F.when(whole, text).otherwise(F.right(right, F.lit(most))).alias("tail"),
+        F.when(whole, 0).otherwise(F.greatest(F.length(right) - most, F.lit(0))).alias("front"),
+    )
+
+
+def _all_candidates(text: Column, ends: str, entries: Sequence[tuple[int, Entry]]) -> Column:
+    """Candidates of all entries: each group of patterns against what it reads, and only if the group's alternation matches."""
+    form = lambda e: 0 if AT_START.fullmatch(e.pattern) else 1 if AT_END.fullmatch(e.pattern) else 2
+    read = ((F.col(f"{ends}.head"), F.col(f"{ends}.lead")), (F.col(f"{ends}.tail"), F.col(f"{ends}.front")), (text, None))
+    parts = []
+    for k, (part, before) in enumerate(read):
+        if mine := [(i, e) for i, e in entries if form(e) == k]:
+            screen = part.rlike("|".join(f"(?:{e.pattern})" for _, e in mine))
+            parts.append(F.when(screen, candidates(part, mine, before)).otherwise(_empty()))
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
+
+
 def best_connective(spans: Column) -> Column:
     """At most one span: the earliest, then the longest."""
     order = F.array_min(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-(s["stop"] - s["start"])).alias("len"), s["i"].alias("i"))))
@@ -68,12 +113,9 @@ def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTU
     raw = []
     for kind in (CONNECTIVE, FINAL):
         mine = [(i, e) for i, e in own if e.type == kind]
-        if kind not in kinds or not mine:
-            raw.append(_empty())
-            continue
-        screen = t.rlike("|".join(f"(?:{e.pattern})" for _, e in mine))
-        raw.append(F.when(screen, candidates(t, mine)).otherwise(_empty()))
-    df = _once(sentences, "__raw", F.struct(raw[0].alias("ce"), raw[1].alias("sf")))
+        raw.append(_all_candidates(t, "__ends", mine) if kind in kinds and mine else _empty())
+    df = _once(sentences, "__ends", _ends(t, lexicon))
+    df = _once(df, "__raw", F.struct(raw[0].alias("ce"), raw[1].alias("sf")))
     df = df.where((F.size("__raw.ce") > 0) | (F.size("__raw.sf") > 0))
     first = before_comma(F.col("__raw.ce"), t) if strict else F.col("__raw.ce")
     df = _once(df, "__kept", F.struct(best_connective(first).alias("ce"), longest_first(F.col("__raw.sf")).alias("sf")))
@@ -84,7 +126,7 @@ def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTU
     rows = _once(df.withColumn("__m", F.explode(F.concat(ce, sf))), "__f", F.get(facts, F.col("__m.i")))
     start, stop = F.col("__m.start"), F.col("__m.stop")
     rel = F.coalesce(F.try_divide(start.cast("double"), F.length(t)), F.lit(0.0))
-    return rows.select("*", "__f.*", start.alias("position"), stop.alias("end_position"), F.substring(t, start + 1, stop - start).alias("span_text"), rel.alias("rel_position")).drop("__raw", "__kept", "__m", "__f")
+    return rows.select("*", "__f.*", start.alias("position"), stop.alias("end_position"), F.substring(t, start + 1, stop - start).alias("span_text"), rel.alias("rel_position")).drop("__ends", "__raw", "__kept", "__m", "__f")
 
 
 def match_tokens(tokens: Column, pattern: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL
-from tsuzuri.operators.stats import pairs
+from tsuzuri.operators.stats import pairs, side_by_side
 
 # The columns that an aggregated table keeps, and the modes of grouping.
 KEPT = ("sentence_id", "basename", "section", "type", "position")
@@ -57,9 +57,8 @@ def title_counts(matches: DataFrame) -> DataFrame:
 
 def collocation_column(matches: DataFrame) -> DataFrame:
     """A row for each connective and final of a sentence, ``CE→SFE`` as the expression; not deduplicated."""
-    ce = matches.where(F.col("type") == CONNECTIVE).select("sentence_id", "section", F.col("expr").alias("conn"))
-    sf = matches.where(F.col("type") == FINAL).select("sentence_id", F.col("expr").alias("final"))
-    return ce.join(sf, "sentence_id").select("sentence_id", "section", F.concat_ws("→", "conn", "final").alias("expr"))
+    both = side_by_side(matches, [F.col("section"), F.col("expr").alias("conn")], [F.col("expr").alias("final")])
+    return both.select("sentence_id", "section", F.concat_ws("→", "conn", "final").alias("expr"))
 
 
 def common_rows(tables: Sequence[DataFrame], key: str = "name") -> list[DataFrame]:

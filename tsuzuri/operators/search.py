@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL
+from tsuzuri.operators.stats import side_by_side
 
 ANY, NONE = "(any)", "(None)"
 
@@ -86,10 +87,9 @@ def pair_samples(pairs: DataFrame, sentences: DataFrame, most: int = 5, seed: in
 
 def surface_forms(matches: DataFrame, side: str = FINAL) -> DataFrame:
     """final, conn, surface text of ``side`` and its frequency, over all pairs of a sentence (no deduplication)."""
-    ce = matches.where(F.col("type") == CONNECTIVE).select("sentence_id", F.col("expr").alias("conn"), F.col("span_text").alias("conn_text"))
-    sf = matches.where(F.col("type") == FINAL).select("sentence_id", F.col("expr").alias("final"), F.col("span_text").alias("final_text"))
-    text = "final_text" if side == FINAL else "conn_text"
-    return ce.join(sf, "sentence_id").groupBy("final", "conn", F.col(text).alias("surface")).agg(F.count("*").alias("n"))
+    conn, final, surface = F.col("expr").alias("conn"), F.col("expr").alias("final"), F.col("span_text").alias("surface")
+    both = side_by_side(matches, [conn], [final, surface]) if side == FINAL else side_by_side(matches, [conn, surface], [final])
+    return both.groupBy("final", "conn", "surface").agg(F.count("*").alias("n"))
 
 
 def listed(forms: DataFrame, top: int = 10) -> DataFrame:

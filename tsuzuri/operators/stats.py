@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL
+from tsuzuri.sources.store import once
 
 TINY = 1e-12
 #: Cells of a table that the driver takes.
@@ -38,12 +39,23 @@ def min_positions(matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return matches.groupBy(*by, "sentence_id", "type", "expr").agg(F.min("position").alias("position"))
 
 
+def side_by_side(matches: DataFrame, conn: Sequence[Column], final: Sequence[Column]) -> DataFrame:
+    """sentence_id and the columns of both sides, for each connective and final of the same sentence.
+
+    The markers of a sentence are gathered in one pass, so ``matches`` is computed once; as in a join, a null id has no pairs.
+    """
+    kind = F.col("type")
+    one = matches.where(F.col("sentence_id").isNotNull() & kind.isin(CONNECTIVE, FINAL)).groupBy("sentence_id")
+    one = one.agg(F.collect_list(F.when(kind == CONNECTIVE, F.struct(*conn))).alias("__c"), F.collect_list(F.when(kind == FINAL, F.struct(*final))).alias("__f"))
+    one = one.where((F.size("__c") > 0) & (F.size("__f") > 0))
+    return one.select("sentence_id", F.explode("__c").alias("__c"), "__f").select("sentence_id", "__c", F.explode("__f").alias("__f")).select("sentence_id", "__c.*", "__f.*")
+
+
 def pairs(matches: DataFrame, distinct: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Connective and final of the same sentence: conn, final, conn_pos, final_pos; with ``distinct``, once a sentence."""
     src = min_positions(matches, by) if distinct else matches
-    ce = src.where(F.col("type") == CONNECTIVE).select(*by, "sentence_id", F.col("expr").alias("conn"), F.col("position").alias("conn_pos"))
-    sf = src.where(F.col("type") == FINAL).select("sentence_id", F.col("expr").alias("final"), F.col("position").alias("final_pos"))
-    return ce.join(sf, "sentence_id")
+    ce = [*map(F.col, by), F.col("expr").alias("conn"), F.col("position").alias("conn_pos")]
+    return side_by_side(src, ce, [F.col("expr").alias("final"), F.col("position").alias("final_pos")])
 
 
 def pmi_entropy(matches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -88,8 +100,10 @@ def dense(table: DataFrame) -> DataFrame:
     """All cells (cat, expr, n) of a contingency table with its margins: row, col, total; cells without rows have 0.
 
     Both sides of the product are margins: distinct categories and expressions; a product of more than
-    ``MOST_DENSE`` cells raises, and ``table`` itself then has all that is not zero.
+    ``MOST_DENSE`` cells raises, and ``table`` itself then has all that is not zero.  The counts are read
+    several times, so they are written once.
     """
+    table = once(table)
     size = table.agg(F.countDistinct("cat").alias("c"), F.countDistinct("expr").alias("e")).first()
     if size.c * size.e > MOST_DENSE:
         raise ValueError(f"{size.c} categories x {size.e} expressions are too many cells")
@@ -257,8 +271,9 @@ def dominant_category(df: DataFrame, cat: str = "section", expr: str = "expr") -
 def correspondence(table: DataFrame, axes: int = 2) -> tuple[DataFrame, DataFrame, list[float]]:
     """(row coordinates, column coordinates, inertias) of a contingency table whose margins fit the driver.
 
-    The table holds one row for each category and expression of a lexicon; it is aggregated in Spark first.
+    The table holds one row for each category and expression of a lexicon; it is aggregated in Spark first, once.
     """
+    table = once(table)
     size = table.agg(F.countDistinct("cat").alias("c"), F.countDistinct("expr").alias("e")).first()
     if size.c * size.e > MOST_CELLS:
         raise ValueError(f"correspondence analysis of {size.c} x {size.e} cells does not fit the driver")

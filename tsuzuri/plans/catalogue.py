@@ -234,8 +234,8 @@ def _(spark, d):
 @query("overlap_invalidate", MATCH + f" SELECT sentence_id, a.expr AS conn, b.expr AS final FROM best a JOIN best b USING (sentence_id) WHERE a.type = '{CONNECTIVE}' AND b.type = '{FINAL}' AND a.position < b.end_position AND b.position < a.end_position")
 def _(spark, d):
     raw = extract.extract_matches(sents(spark, d), cross_check=False)
-    a, b = raw.where(F.col("type") == CONNECTIVE), raw.where(F.col("type") == FINAL)
-    both = a.select("sentence_id", F.col("expr").alias("conn"), F.col("position").alias("p"), F.col("end_position").alias("e")).join(b.select("sentence_id", F.col("expr").alias("final"), "position", "end_position"), "sentence_id")
+    at = F.col("position"), F.col("end_position")
+    both = stats.side_by_side(raw, [F.col("expr").alias("conn"), at[0].alias("p"), at[1].alias("e")], [F.col("expr").alias("final"), *at])
     return both.where("p < end_position and position < e").select("sentence_id", "conn", "final")
 
 
