@@ -1,8 +1,10 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from tsuzuri.functions import text as tx
 from tsuzuri.operators import extract, lexicon, reports, search, stats
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE
 from tsuzuri.plans import catalogue
@@ -71,3 +73,15 @@ def test_counts_are_read_once(spark, tmp_path):
     d = written(spark, tmp_path, ["the first is ending\nof and\nthe last is done", "que la the\nand walking\nof the moment"])
     counts = stats.contingency(catalogue.found(spark, d), "section")
     assert "Window" not in plan_of(stats.chi2_residuals(counts)) and "Window" in plan_of(counts)
+
+
+@pytest.mark.parametrize("text", [None, "", " 、。", "あ", "abc", "あ" * 21 + "x" * 90, "あいう、えおabc", "a" * 101, "あ" * 7 + "abcd", "あ" * 6 + "xxxxx"])
+def test_cjk_sizes_are_made_once(spark, text):
+    body = "".join(c for c in text or "" if c not in "、。 ")
+    n = sum(c in "あいうえお" for c in body)
+    want = bool(text) and bool(body) and ((len(body) <= 10 and n >= 1) or (len(text) > 100 and n > 20) or n / len(body) >= 0.6)
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(tx.mostly_cjk(F.col("t")).alias("x")).first().x == want
+    assert df.select(tx.cjk_share(F.col("t")).alias("x")).first().x == pytest.approx(n / len(body) if body else 0)
+    shown = plan_of(df.where(tx.mostly_cjk(F.translate("t", "a", "あ"))))
+    assert shown.count("translate(") == 1 and shown.count("regexp_replace(") == 2

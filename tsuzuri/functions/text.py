@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 CJK = "　-ヿ㐀-䶿一-鿿豈-﫿＀-￯"
 # Punctuation left out of the CJK share.
 CJK_IGNORED = "、。，．・「」『』（）()［］\\[\\]【】!?！？:：;；,.'\"\\-—…"
+# Common characters that are neither blank nor listed there; runs that begin with one are ruled out first, as the others are compared one by one.
+NEVER_IGNORED = "a-zぁ-ヺ一-鿿"
 CIRCLED_ONE = ord("①")
 # Numerals.
 ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
@@ -31,22 +33,38 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _without_ignored(text: Column) -> Column:
+    return F.regexp_replace(text, f"(?![{NEVER_IGNORED}])[\\s\\x85\\p{{Z}}{CJK_IGNORED}]+", "")
+
+
+def _cjk_length(body: Column) -> Column:
+    return F.length(F.regexp_replace(body, f"[^{CJK}]+", ""))
+
+
 def cjk_share(text: Column) -> Column:
     """CJK characters among those that are neither blank nor listed punctuation."""
-    body = F.regexp_replace(text, f"(?U)[\\s{CJK_IGNORED}]", "")
-    return F.coalesce(F.try_divide(F.length(F.regexp_replace(body, f"[^{CJK}]", "")).cast("double"), F.length(body)), F.lit(0.0))
+    share = lambda body: F.coalesce(F.try_divide(_cjk_length(body).cast("double"), F.length(body)), F.lit(0.0))
+    return F.get(F.transform(F.array(_without_ignored(text)), share), F.lit(0))
 
 
 def mostly_cjk(text: Column, threshold: float = 0.6) -> Column:
-    body = F.regexp_replace(text, f"(?U)[\\s{CJK_IGNORED}]", "")
-    n = F.length(F.regexp_replace(body, f"[^{CJK}]", ""))
-    size = F.length(body)
-    return (
-        F.when(text.isNull() | (size == 0), False)
-        .when((size <= 10) & (n >= 1), True)
-        .when((F.length(text) > 100) & (n > 20), True)
-        .otherwise(n / size >= threshold)
-    )
+    # The text and its sizes are elements of arrays, so that each is made once, whatever refers to it.  A long text with
+    # more than 20 such characters is read as far as the 21st.
+    counted = f"[{CJK}&&[^\\s\\x85\\p{{Z}}{CJK_IGNORED}]]"
+    other = f"[[^{CJK}][\\s\\x85\\p{{Z}}{CJK_IGNORED}]]"
+    many = f"^(?:{other}*+{counted}){{21}}"
+
+    def of_sizes(t: Column) -> Column:
+        sizes = F.transform(F.array(_without_ignored(t)), lambda b: F.struct(F.length(b).alias("size"), _cjk_length(b).alias("n")))
+        said = F.transform(
+            sizes,
+            lambda s: F.when(t.isNull() | (s["size"] == 0), False)
+            .when((s["size"] <= 10) & (s["n"] >= 1), True)
+            .otherwise(s["n"] / s["size"] >= threshold),
+        )
+        return F.get(said, F.lit(0))
+
+    return F.get(F.transform(F.array(text), lambda t: F.when((F.length(t) > 100) & t.rlike(many), True).otherwise(of_sizes(t))), F.lit(0))
 
 
 def ascii_digits(text: Column) -> Column:
