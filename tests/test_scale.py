@@ -85,3 +85,10 @@ def test_cjk_sizes_are_made_once(spark, text):
     assert df.select(tx.cjk_share(F.col("t")).alias("x")).first().x == pytest.approx(n / len(body) if body else 0)
     shown = plan_of(df.where(tx.mostly_cjk(F.translate("t", "a", "あ"))))
     assert shown.count("translate(") == 1 and shown.count("regexp_replace(") == 2
+
+
+def test_fields_with_separators_are_cleaned(spark):
+    tok = lambda *w: [(a, a, a, None, "", "") for a in w]
+    rows = spark.createDataFrame([(tok("a|b", "c;d", "e"),)], "t array<struct<orth:string,norm:string,lemma:string,pos:string,tag:string,morph:string>>")
+    got = rows.select(extract.match_tokens(F.col("t"), lexicon.compile_tokens([{"ORTH": "a b"}, {"ORTH": "c d"}])).alias("m")).first().m
+    assert got == ["a b|a b|a b|||;c d|c d|c d|||;"]

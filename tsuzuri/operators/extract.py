@@ -131,9 +131,20 @@ def extract_matches(sentences: DataFrame, lexicon: Sequence[Entry] = tuple(FIXTU
 
 def match_tokens(tokens: Column, pattern: str) -> Column:
     """Matches (encoded tokens) of a compiled token pattern; ``tokens`` is an array of structs orth, norm, lemma, pos, tag, morph."""
-    field = lambda v: F.regexp_replace(F.coalesce(v, F.lit("")), "[|;]", " ")
-    coded = F.array_join(F.transform(tokens, lambda k: F.concat(F.concat_ws("|", *[field(k[f]) for f in ("orth", "norm", "lemma", "pos", "tag", "morph")]), F.lit(";"))), "")
-    return F.regexp_extract_all(coded, F.lit(f"(?:^|(?<=;))({pattern})"), F.lit(1))
+    names = ("orth", "norm", "lemma", "pos", "tag", "morph")
+
+    def joined(all_tokens: Column, field) -> Column:
+        return F.array_join(F.transform(all_tokens, lambda k: F.concat(*[p for f in names for p in (field(k[f]), F.lit("|"))][:-1], F.lit(";"))), "")
+
+    def coded(all_tokens: Column) -> Column:
+        """Fields are cleaned one by one only where a separator is in any of them."""
+        parts = [F.array_join(all_tokens[f], "") for f in names]
+        clean = ~F.concat(*parts).rlike("[|;]")
+        plain = lambda v: F.coalesce(v, F.lit(""))
+        return F.when(clean, joined(all_tokens, plain)).otherwise(joined(all_tokens, lambda v: F.regexp_replace(plain(v), "[|;]", " ")))
+
+    code = F.get(F.transform(F.array(tokens), coded), F.lit(0))  # an element of an array, so that tokens are made once
+    return F.regexp_extract_all(code, F.lit(f"(?<![^;])({pattern})"), F.lit(1))
 
 
 def escaped(s: Column) -> Column:
