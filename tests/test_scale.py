@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tsuzuri.functions import text as tx
-from tsuzuri.operators import extract, lexicon, reports, search, stats
+from tsuzuri.operators import extract, lexicon, reports, search, sections, stats
 from tsuzuri.operators.lexicon import CONNECTIVE, FINAL, FIXTURE
 from tsuzuri.plans import catalogue
 
@@ -87,6 +87,15 @@ def test_cjk_sizes_are_made_once(spark, text):
     assert shown.count("translate(") == 1 and shown.count("regexp_replace(") == 2
 
 
+def test_sections_take_many_documents_a_batch(spark):
+    docs = spark.createDataFrame([(i, f"# はじめに\n\ntext {i}\n\n# 結論\n\nend" if i % 3 else None if i % 2 else "plain") for i in range(300)], "k long, text string")
+    out = sections.nodes(docs, "k")
+    assert "FlatMapGroupsInPandas" not in plan_of(out)
+    rows = out.collect()
+    assert len({r.k for r in rows}) == 250 and {r.body for r in rows if r.k == 7} == {"text 7", "end"}
+    assert [r.category for r in rows if r.k == 0] == ["unknown"]
+
+
 def test_fields_with_separators_are_cleaned(spark):
     tok = lambda *w: [(a, a, a, None, "", "") for a in w]
     rows = spark.createDataFrame([(tok("a|b", "c;d", "e"),)], "t array<struct<orth:string,norm:string,lemma:string,pos:string,tag:string,morph:string>>")

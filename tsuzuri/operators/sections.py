@@ -6,9 +6,9 @@ them makes its sections. A document is the unit of memory; nothing is held acros
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ ANCHOR_STYLES = ("roman", "dot", "plain")
 LEAST_ANCHORS, MANY_ANCHORS = 3, 5
 BASE = 2
 GAP = "\n\n"
+#: Documents that a worker takes out of an Arrow batch at a time.
+SLICE = 128
 
 NODE = "idx int, level int, heading string, number string, labels array<string>, category string, parent int, path array<string>, start long, stop long, body string, shown boolean"
 
@@ -173,20 +175,28 @@ def nodes(docs: DataFrame, key: str = "basename", text: str = "text", skipped: S
     ``key`` must be unique; a null key or text gives no sections.
     """
     found = headings(corpus.markdown_blocks(docs.where(F.col(key).isNotNull()), key, text))
-    kind = docs.schema[key].dataType.simpleString()
+    blocks = [c for c in found.columns if c != key]
+    whole = found.groupBy(key).agg(F.collect_list(F.struct(*blocks)).alias("__blocks")).select(key, "__blocks")
     left_out = frozenset(skipped)
     columns = ["idx", "level", "heading", "number", "labels", "category", "parent", "path", "start", "stop", "body", "shown"]
-
-    def sections(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable")
-        plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
-        for r in plain:
-            r["labels"] = [] if r["labels"] is None else list(r["labels"])
-        out = pd.DataFrame(_outline(plain, left_out), columns=columns)
-        out["parent"] = pd.array(out["parent"].tolist(), "Int64")
-        return out.assign(**{key: group[0]})[[key, *columns]]
-
-    return found.groupBy(key).applyInPandas(sections, f"`{key}` {kind}, {NODE}")
+    kinds = pa.struct([("idx", pa.int32()), ("level", pa.int32()), ("heading", pa.string()), ("number", pa.string()), ("labels", pa.list_(pa.string())), ("category", pa.string()), ("parent", pa.int32()), ("path", pa.list_(pa.string())), ("start", pa.int64()), ("stop", pa.int64()), ("body", pa.string()), ("shown", pa.bool_())])
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                few = batch.slice(at, SLICE)
+                at_row, out = [], []
+                for i, rows in enumerate(few.column(1).to_pylist()):
+                    rows.sort(key=lambda r: r["idx"])
+                    for r in rows:
+                        r["labels"] = r["labels"] or []
+                    mine = _outline(rows, left_out)
+                    at_row += [i] * len(mine)
+                    out += mine
+                cols = pa.array([{c: r[c] for c in columns} for r in out], kinds).flatten()
+                yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(at_row, pa.int32())), *cols], names=[key, *columns])
+
+    return whole.mapInArrow(sections, f"`{key}` {docs.schema[key].dataType.simpleString()}, {NODE}")
 
 
 def section_texts(docs: DataFrame, key: str = "basename", text: str = "text", skipped: Sequence[str] = EXCLUDED) -> DataFrame:
